@@ -88,7 +88,7 @@ def mixed(rows: DataFrame, weights=WEIGHTS, shapes=SHAPES, share: float = SHARE,
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
     out = mixed(written(rows, "op6"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")  # the id splits the many without a position
 
 
 QUERIES = {"op6_mixing": op6_mixing}
