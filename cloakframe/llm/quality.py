@@ -144,8 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """Rules from at most `sample` labelled documents that pass the base rules."""
     drawn = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("quality").alias("__q")).orderBy(F.xxhash64("__id"), "__id", "__q").limit(sample)
     some = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("__id"))
-    rows = statistics(some).where("NOT base_failed").select("doc_id", "__q", *RATIOS).collect()
-    rows.sort(key=lambda r: tuple(r))
+    # base_failed is looked at here: as a filter it would move below the join and be computed for every document
+    rows = sorted((r for r in statistics(some).select("doc_id", "__q", *RATIOS, "base_failed").collect() if not r["base_failed"]), key=tuple)
     if not rows:
         return []
     x = {f: np.array([float(r[f]) for r in rows]) for f in RATIOS}
