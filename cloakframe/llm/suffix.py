@@ -70,17 +70,19 @@ def _last_minimum(h: np.ndarray, window: int) -> np.ndarray:
     return same
 
 
-def regions(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First start, number of starts and anchor hash of each region of one text. Neighbours with equal anchors (periodic text) are one."""
+def regions(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First start, number of starts, anchor hash and number of places of the anchor, of each region of one text.
+    Neighbours with equal anchors (periodic text) are one region, in which the anchor has several places."""
     n = len(raw) - length + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.arange(len(raw) - GRAM + 1)
     h = _run_hash(_totals(raw), at, at + GRAM)
     anchor = _last_minimum(h, length - GRAM + 1)
     value = h[anchor]
     start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-    return start, np.diff(np.append(start, n)), value[start]
+    places = np.add.reduceat(np.append(True, anchor[1:] != anchor[:-1]).astype(np.int64), start)
+    return start, np.diff(np.append(start, n)), value[start], places
 
 
 def text_key() -> list:
@@ -88,13 +90,13 @@ def text_key() -> list:
 
 
 def found_regions(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, t, len, start, n, h, g1, g2: every region, with its anchor's hash and the 128-bit digest of its bytes."""
+    """doc_id, t, len, start, n, h, k, g1, g2: every region, with its anchor's hash and places and the 128-bit digest of its bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", PART):
                 raw, off = utf8_views(part.column("text"))
-                row, cols, digests = [], [[], [], []], []
+                row, cols, digests = [], [[], [], [], []], []
                 for i in np.flatnonzero(np.diff(off) >= length).tolist():
                     one = raw[off[i] : off[i + 1]]
                     found = regions(one, length)
@@ -107,13 +109,13 @@ def found_regions(docs: DataFrame, length: int) -> DataFrame:
                     continue
                 where = pa.array(np.concatenate(row))
                 g = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                start, n, h = map(np.concatenate, cols)
+                start, n, h, k = map(np.concatenate, cols)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(where) for c in ("doc_id", "t", "len")), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g[:, 0].copy()), pa.array(g[:, 1].copy())],
-                    names=["doc_id", "t", "len", "start", "n", "h", "g1", "g2"],
+                    [*(part.column(c).take(where) for c in ("doc_id", "t", "len")), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(k.astype(np.int32)), pa.array(g[:, 0].copy()), pa.array(g[:, 1].copy())],
+                    names=["doc_id", "t", "len", "start", "n", "h", "k", "g1", "g2"],
                 )
 
-    return docs.select("doc_id", "text", *text_key()).mapInArrow(work, "doc_id long, t long, len int, start int, n int, h long, g1 long, g2 long")
+    return docs.select("doc_id", "text", *text_key()).mapInArrow(work, "doc_id long, t long, len int, start int, n int, h long, k int, g1 long, g2 long")
 
 
 def region_bytes(docs: DataFrame, groups: DataFrame, length: int) -> DataFrame:
@@ -195,7 +197,7 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, budget: int = BUDGET)
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = written(found_regions(docs, length), "regions")
-    twice = every.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    twice = every.groupBy("h").agg(F.sum("k").alias("k")).where("k > 1").select("h")
     candidates = written(every.join(twice, "h", "left_semi"), "candidates")
     groups = candidates.groupBy("h", "g1", "g2", "n").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "t", "len", "start")).alias("at"))
     groups = written(groups.select("h", "g1", "g2", "n", "m", "at.*"), "groups")
