@@ -64,8 +64,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def mixed(rows: DataFrame, weights=WEIGHTS, shapes=SHAPES, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """rows (doc_id, size, source, and any others) with source_size, target, taken, position: its first, null if not taken."""
-    rows = rows.drop("source_size", "target", "taken", "position")
+    """rows (doc_id, size, source, and any others) with source_size, target, taken, position (its first, null if not taken) and
+    positions, one for each time it is taken. Clashing columns are replaced."""
+    rows = rows.drop("source_size", "target", "taken", "position", "positions")
     key = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string")).cast("binary"))
     rows = rows.withColumn("__order", key).withColumn("__block", F.substring("__order", 1, 3))
     names = [c for c in rows.columns if c not in ("source", "__block")]
@@ -79,10 +80,14 @@ def mixed(rows: DataFrame, weights=WEIGHTS, shapes=SHAPES, share: float = SHARE,
     placed = rows.withColumn("__before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.join(each, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
     middle = F.col("__ahead") + F.col("__before") + F.col("size") / 2
-    passes = reduce(lambda a, c: a + c, [(middle + F.lit(float(k)) * F.col("source_size") <= F.col("target")).cast("long") for k in range(int(-(-most // 1)))])
-    time = reduce(lambda rest, i: F.when(F.col("kind") == i, inverse_demand(middle / F.col("target"), shapes[i])).otherwise(rest), range(len(weights)), F.lit(None).cast("double"))
-    out = joined.withColumn("__passes", F.when(F.col("size") > 0, passes).otherwise(0))
-    return out.select(*[n for n in names if n != "__order"], "source", "source_size", "target", (F.col("__passes") * F.col("size")).cast("long").alias("taken"), F.when(F.col("__passes") > 0, F.round(time, 6)).alias("position"))
+    turns = int(-(-most // 1))
+    passes = reduce(lambda a, c: a + c, [(middle + F.lit(float(k)) * F.col("source_size") <= F.col("target")).cast("long") for k in range(turns)])
+    def time(k: int) -> Column:
+        done = (middle + F.lit(float(k)) * F.col("source_size")) / F.col("target")
+        return F.round(reduce(lambda rest, i: F.when(F.col("kind") == i, inverse_demand(done, shapes[i])).otherwise(rest), range(len(weights)), F.lit(None).cast("double")), 6)
+
+    out = joined.withColumn("__passes", F.when(F.col("size") > 0, passes).otherwise(0)).withColumn("positions", F.slice(F.array(*[time(k) for k in range(turns)]), F.lit(1), F.col("__passes").cast("int")))
+    return out.select(*[n for n in names if n != "__order"], "source", "source_size", "target", (F.col("__passes") * F.col("size")).cast("long").alias("taken"), F.get("positions", F.lit(0)).alias("position"), "positions")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
