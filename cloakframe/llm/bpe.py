@@ -109,7 +109,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, the ids themselves of every whole text."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
@@ -123,7 +123,7 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                     pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids]),
                 ]
                 if with_ids:
-                    cols.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
+                    cols.append(pa.array(ids, pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)

@@ -1,7 +1,7 @@
 """Suffix-array dedup: bytes covered by a long string that also starts elsewhere, by external induced sorting.
 
 Strings of `length` bytes must meet wherever they are, so texts are first cut into regions by content: of the hashes of all
-GRAM-byte runs inside a string, the smallest (the last of equals) is the string's anchor; strings with one anchor start side by side
+runs of about a third of `length` bytes inside a string, the smallest (the last of equals) is the string's anchor; strings with one anchor start side by side
 and make a region. Equal strings have equal anchors, so an anchor that occurs once can't repeat anything. The regions
 of the others, each distinct one once with the number of times it occurs, are dealt to shards by anchor. A shard's
 regions are one text, sorted with common prefixes by `induced`; neighbours in that order that share `length` bytes are one
@@ -28,7 +28,7 @@ from cloakframe.llm.common import slices, table, utf8_views, written
 from cloakframe.llm.induced import repeated
 from cloakframe.llm.shingles import mix, powers
 
-LENGTH, GRAM = 400, 128
+LENGTH = 400
 #: An anchor with more distinct regions than this is dealt by string.
 HOT = 256
 PART = 1 << 22
@@ -70,15 +70,21 @@ def _last_minimum(h: np.ndarray, window: int) -> np.ndarray:
     return same
 
 
+def gram(length: int) -> int:
+    """The bytes of the runs among which a string's anchor is chosen."""
+    return max(1, length * 8 // 25)
+
+
 def regions(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First start, number of starts, anchor hash and number of places of the anchor, of each region of one text.
     Neighbours with equal anchors (periodic text) are one region, in which the anchor has several places."""
     n = len(raw) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.arange(len(raw) - GRAM + 1)
-    h = _run_hash(_totals(raw), at, at + GRAM)
-    anchor = _last_minimum(h, length - GRAM + 1)
+    k = gram(length)
+    at = np.arange(len(raw) - k + 1)
+    h = _run_hash(_totals(raw), at, at + k)
+    anchor = _last_minimum(h, length - k + 1)
     value = h[anchor]
     start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
     places = np.add.reduceat(np.append(True, anchor[1:] != anchor[:-1]).astype(np.int64), start)
