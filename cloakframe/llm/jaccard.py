@@ -9,8 +9,8 @@ Two sets with Jaccard similarity of t or more share at least T = t / (1 + t) * (
 
 The order decides only how much work there is, never the result. Texts with equal sets are one class, so copies don't meet in lists.
 A first round links classes that agree in a band of minimum hashes to one class of each band, as far as the exact overlap
-confirms it; lists then give pairs between different components of those links only, so a large group of near copies does not
-give all its pairs. The result is whole: every pair of classes in different components that can reach t is probed.
+confirms it; lists give pairs between different components of those links only, and bitmaps of parities sieve them before whole sets
+are fetched, so a large group of near copies does not give all its pairs. The result is whole: every pair of classes in different components that can reach t is probed.
 
 Defined results: null texts and texts without words have empty sets, link with nothing and are components of their own; rows that repeat
 or share a doc_id keep one row each; null doc_ids are never a component's smallest unless all are null.
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cloakframe.llm.common import slices, table, utf8_views, written
 from cloakframe.llm.components import components
@@ -33,9 +33,11 @@ from cloakframe.llm.shingles import mix, shingle_hashes, shingle_sets
 #: Bitmaps have this many bits, whatever the input; a shingle's or an id's slot is its first bits.
 SLOT_BITS, BUCKET = 21, 32768
 #: Local counts are taken over blocks of so many shingles; levels begin at these sums of local counts.
-BLOCK, LEVELS = 1 << 22, (16, 64, 256, 1024, 4096, 16384, 65536, 1 << 20)
+BLOCK, LEVELS = 1 << 21, (16, 64, 256, 1024, 4096, 16384, 65536, 1 << 20)
 BANDS, ROWS = 8, 3
-PART = 1 << 22
+#: Bits of a set's parity, and lists over which a class's partners are dealt.
+PARITY, SPLIT = 1024, 16
+PART = 1 << 20
 POSTING = np.dtype([("h", "<u8"), ("c", "<i8"), ("label", "<i8"), ("n", "<i4")])
 _ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -103,28 +105,29 @@ def class_of(s: np.ndarray) -> int:
 
 
 def sketched(docs: DataFrame, words: int, percent: int, level: np.ndarray) -> DataFrame:
-    """doc_id, n, c (class: hash of the set), bands, short (the short lists' shingles) of every document; c is null for empty sets."""
-    schema = "doc_id long, n long, c long, bands array<long>, short binary"
+    """doc_id, n, c (class: hash of the set), bands, short (the short lists' shingles) and parity of every document; c is null for empty sets."""
+    schema = "doc_id long, n long, c long, bands array<long>, short binary, parity binary"
     levels = docs.sparkSession.sparkContext.broadcast(level)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lev = levels.value
         for batch in batches:
             for part in slices(batch, "text", PART):
-                n, c, bands, short = [], [], [], []
+                n, c, bands, short, parity = [], [], [], [], []
                 for s in shingle_sets(*utf8_views(part.column("text")), words):
                     n.append(len(s))
                     if not len(s):
-                        c.append(None), bands.append([]), short.append(b"")
+                        c.append(None), bands.append([]), short.append(b""), parity.append(b"")
                         continue
                     c.append(class_of(s))
                     low = np.concatenate([(s[i : i + 4096, None] * _ODD).min(axis=0)[None] for i in range(0, len(s), 4096)]).min(axis=0).reshape(BANDS, ROWS)
                     key = mix(mix(mix(low[:, 0]) + low[:, 1]) + low[:, 2] + np.arange(BANDS, dtype=np.uint64))
                     bands.append(key.view(np.int64))
+                    parity.append(np.packbits(np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes())
                     of = lev[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
                     k = short_lists(len(s), percent)
                     short.append((s[np.argsort(of, kind="stable")[:k]] if of.any() else s[:k]).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())], names=["doc_id", "n", "c", "bands", "short"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary()), pa.array(parity, pa.binary())], names=["doc_id", "n", "c", "bands", "short", "parity"])
 
     return docs.select("doc_id", "text").mapInArrow(work, schema)
 
@@ -199,7 +202,7 @@ def _deal(parts: int):
                 rows["h"], rows["c"], rows["label"], rows["n"] = h, c, label, n
                 held.append(rows)
                 size += len(h)
-                if size >= 1 << 21:
+                if size >= 1 << 20:
                     yield from out()
                     size = 0
         yield from out()
@@ -264,9 +267,41 @@ def met_pairs(classes: DataFrame, percent: int) -> DataFrame:
         yield from meet(batches)
 
     met = dealt.groupBy("part").applyInArrow(grouped, "x long, y long, nx long, ny long, k long")
-    least = lambda n: F.lit(1) + F.floor(F.col(n) / 32)
-    need = F.least(least("nx"), least("ny"), F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / F.lit(100 + percent)))
-    return met.groupBy("x", "y", "nx", "ny").agg(F.sum("k").alias("k")).where(F.col("k") >= need).select("x", "y")
+    return met.groupBy("x", "y", "nx", "ny").agg(F.sum("k").alias("k")).where(F.col("k") >= needed_meetings("nx", "ny", percent)).select("x", "y", "k")
+
+
+def needed_meetings(nx: str, ny: str, percent: int) -> Column:
+    """In how many short lists a pair must meet. Of the two sets, take the one whose short lists end first in the order: what it
+    shares of them is in the other's short lists, too, so the overlap is at most the meetings plus its long lists."""
+    total = F.ceil(F.lit(percent) * (F.col(nx) + F.col(ny)) / F.lit(100 + percent))
+    long = lambda n: F.greatest(F.lit(0), F.ceil(F.lit(percent) * F.col(n) / 100) - 1 - F.floor(F.col(n) / 32))
+    return total - F.greatest(long(nx), long(ny))
+
+
+def sieved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) whose sets can't differ by too much: each element flips one of 1024 bits of its set's parity, so the parities differ in no
+    more bits than the sets do in elements. classes: c, n, parity.
+
+    A class may have very many partners: they travel in SPLIT lists for each, first to x's parity and then to y's."""
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(SPLIT)).alias("part")
+    by_x = pairs.groupBy("x", part("y")).agg(F.collect_list("y").alias("ys"))
+    with_x = by_x.join(classes.select(F.col("c").alias("x"), "n", "parity"), "x").select("x", "n", "parity", F.explode("ys").alias("y"))
+    by_y = with_x.groupBy("y", part("x")).agg(F.collect_list(F.struct("x", "n", "parity")).alias("xs"))
+    both = by_y.join(classes.select(F.col("c").alias("y"), F.col("n").alias("m"), F.col("parity").alias("other")), "y").select("y", "m", "other", "xs")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                rows = batch.slice(i, 500)
+                lists = rows.column("xs")
+                items, at = lists.flatten(), np.repeat(np.arange(rows.num_rows), np.diff(lists.offsets.to_numpy()))
+                bits = lambda c: utf8_views(c)[0].reshape(-1, PARITY // 8)
+                apart = np.bitwise_count(bits(items.field("parity")) ^ bits(rows.column("other"))[at]).sum(axis=1, dtype=np.int64)
+                n, m = items.field("n").to_numpy(), rows.column("m").to_numpy()[at]
+                ok = pa.array(apart <= n + m - 2 * least_overlap(n, m, percent))
+                yield pa.RecordBatch.from_arrays([items.field("x").filter(ok), rows.column("y").take(pa.array(at)).filter(ok)], names=["x", "y"])
+
+    return both.mapInArrow(work, "x long, y long")
 
 
 def labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -280,10 +315,11 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     base = written(sketched(docs, words, percent, shingle_levels(docs, words)), "sketches")
     ids = base.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("id"))
-    full = base.where("c IS NOT NULL").alias("f").join(ids.alias("i"), F.col("f.c").eqNullSafe(F.col("i.c")) & F.col("f.doc_id").eqNullSafe(F.col("i.id"))).select("f.c", "i.id", "f.n", "f.bands", "f.short")
+    full = base.where("c IS NOT NULL").alias("f").join(ids.alias("i"), F.col("f.c").eqNullSafe(F.col("i.c")) & F.col("f.doc_id").eqNullSafe(F.col("i.id"))).select("f.c", "i.id", "f.n", "f.bands", "f.short", "f.parity")
     near = written(banded_pairs(full), "pairs")
     first = written(probed(near, docs, ids, words, percent), "first")
-    candidates = written(met_pairs(labelled(full.select("c", "n", "short"), first), percent), "pairs")
+    met = met_pairs(labelled(full.select("c", "n", "short"), first), percent)
+    candidates = written(sieved(met, full.select("c", "n", "parity"), percent), "pairs")
     second = written(probed(candidates, docs, ids, words, percent), "second")
     groups = labelled(ids, first.unionAll(second))
     smallest = groups.groupBy("label").agg(F.min("id").alias("component_id"))
