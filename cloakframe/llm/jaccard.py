@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cloakframe.llm.common import slices, table, utf8_views, written
+from cloakframe.llm.common import slices, table, text_batches, utf8_views, written
 from cloakframe.llm.components import components
 from cloakframe.llm.shingles import mix, shingle_hashes, shingle_sets
 
@@ -39,6 +39,8 @@ BANDS, ROWS = 8, 3
 PARITY, SPLIT = 1024, 16
 PART = 1 << 20
 POSTING = np.dtype([("h", "<u8"), ("c", "<i8"), ("label", "<i8"), ("n", "<i4")])
+#: In lists of shingles that have a level, postings carry a folded parity, so that long lists are sieved where they are merged.
+HEAVY = np.dtype([*POSTING.descr, ("parity", "V64")])
 _ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -105,19 +107,19 @@ def class_of(s: np.ndarray) -> int:
 
 
 def sketched(docs: DataFrame, words: int, percent: int, level: np.ndarray) -> DataFrame:
-    """doc_id, n, c (class: hash of the set), bands, short (the short lists' shingles) and parity of every document; c is null for empty sets."""
-    schema = "doc_id long, n long, c long, bands array<long>, short binary, parity binary"
+    """doc_id, n, c (class: hash of the set), bands, short (the short lists' shingles; the first `light` have no level) and parity of every document; c is null for empty sets."""
+    schema = "doc_id long, n long, c long, bands array<long>, short binary, light int, parity binary"
     levels = docs.sparkSession.sparkContext.broadcast(level)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lev = levels.value
         for batch in batches:
             for part in slices(batch, "text", PART):
-                n, c, bands, short, parity = [], [], [], [], []
+                n, c, bands, short, light, parity = [], [], [], [], [], []
                 for s in shingle_sets(*utf8_views(part.column("text")), words):
                     n.append(len(s))
                     if not len(s):
-                        c.append(None), bands.append([]), short.append(b""), parity.append(b"")
+                        c.append(None), bands.append([]), short.append(b""), light.append(0), parity.append(b"")
                         continue
                     c.append(class_of(s))
                     low = np.concatenate([(s[i : i + 4096, None] * _ODD).min(axis=0)[None] for i in range(0, len(s), 4096)]).min(axis=0).reshape(BANDS, ROWS)
@@ -127,7 +129,8 @@ def sketched(docs: DataFrame, words: int, percent: int, level: np.ndarray) -> Da
                     of = lev[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
                     k = short_lists(len(s), percent)
                     short.append((s[np.argsort(of, kind="stable")[:k]] if of.any() else s[:k]).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary()), pa.array(parity, pa.binary())], names=["doc_id", "n", "c", "bands", "short", "parity"])
+                    light.append(min(k, int((of == 0).sum())))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary()), pa.array(light, pa.int32()), pa.array(parity, pa.binary())], names=["doc_id", "n", "c", "bands", "short", "light", "parity"])
 
     return docs.select("doc_id", "text").mapInArrow(work, schema)
 
@@ -178,89 +181,112 @@ def banded_pairs(classes: DataFrame) -> DataFrame:
 
 
 def _deal(parts: int):
-    """Postings of a task as one record array for each part of the shingles."""
+    """Postings of a task as one record array for each part of the shingles (and another for those with a level)."""
+
+    def dealt(held: list[np.ndarray], heavy: bool) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        rows = np.concatenate(held)
+        held.clear()
+        part = (rows["h"] % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        rows, part = rows[order], part[order]
+        at = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = np.append(at[1:], len(rows))
+        yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array([rows[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()), pa.array([heavy] * len(at))], names=["part", "rows", "heavy"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if held:
-                rows = np.concatenate(held)
-                held.clear()
-                part = (rows["h"] % np.uint64(parts)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                rows, part = rows[order], part[order]
-                at = np.flatnonzero(np.diff(part, prepend=-1))
-                ends = np.append(at[1:], len(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array([rows[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())], names=["part", "rows"])
-
+        held: list[list[np.ndarray]] = [[], []]
         size = 0
         for batch in batches:
-            for c, label, n, short in zip(*(batch.column(k).to_pylist() for k in ("c", "label", "n", "short")), strict=True):
+            for c, label, n, short, light, parity in zip(*(batch.column(k).to_pylist() for k in ("c", "label", "n", "short", "light", "parity")), strict=True):
                 h = np.frombuffer(short, np.uint64)
-                rows = np.empty(len(h), POSTING)
-                rows["h"], rows["c"], rows["label"], rows["n"] = h, c, label, n
-                held.append(rows)
-                size += len(h)
+                for heavy, own in ((0, h[:light]), (1, h[light:])):
+                    if len(own):
+                        rows = np.empty(len(own), HEAVY if heavy else POSTING)
+                        rows["h"], rows["c"], rows["label"], rows["n"] = own, c, label, n
+                        if heavy:
+                            half = np.frombuffer(parity, np.uint64)
+                            rows["parity"] = np.frombuffer((half[: len(half) // 2] ^ half[len(half) // 2 :]).tobytes(), "V64")[0]
+                        held[heavy].append(rows)
+                        size += len(own) * (1 + 2 * heavy)
                 if size >= 1 << 20:
-                    yield from out()
+                    for heavy in (0, 1):
+                        yield from dealt(held[heavy], bool(heavy))
                     size = 0
-        yield from out()
+        for heavy in (0, 1):
+            yield from dealt(held[heavy], bool(heavy))
 
     return work
 
 
+def _merged(rows: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that meet in some lists, with how often: across labels only, of sizes that fit and, where postings have one, of parities that fit."""
+    if not len(rows):
+        return
+    rows = rows[np.argsort(rows["h"], kind="stable")]
+    first = np.flatnonzero(np.append(True, rows["h"][1:] != rows["h"][:-1]))
+    count = np.diff(np.append(first, len(rows)))
+    mixed = np.minimum.reduceat(rows["label"], first) < np.maximum.reduceat(rows["label"], first)
+    rows, count = rows[np.repeat(mixed, count)], count[mixed]
+    if not len(rows):
+        return
+    ids, one, c = np.unique(rows["c"], return_index=True, return_inverse=True)
+    size = rows["n"][one].astype(np.int64)
+    parity = np.frombuffer(np.ascontiguousarray(rows["parity"][one]).tobytes(), np.uint64).reshape(-1, 8) if "parity" in rows.dtype.names else None
+    label, left = rows["label"], np.repeat(count, count) - (np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count))
+    held: list[np.ndarray] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if held:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            x, y = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            for i in range(0, len(key), 1 << 16):
+                s = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x[s]]), pa.array(ids[y[s]]), pa.array(size[x[s]]), pa.array(size[y[s]]), pa.array(n[s].astype(np.int64))], names=["x", "y", "nx", "ny", "k"])
+
+    at, step, total = np.arange(len(rows)), 1, 0
+    while len(at := at[left[at] > step]):
+        for i in range(0, len(at), 1 << 18):
+            p = at[i : i + (1 << 18)]
+            a, b = c[p], c[p + step]
+            na, nb = size[a], size[b]
+            ok = (label[p] != label[p + step]) & (a != b) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+            a, b = a[ok], b[ok]
+            if parity is not None and len(a):
+                apart = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
+                ok = apart <= size[a] + size[b] - 2 * least_overlap(size[a], size[b], percent)
+                a, b = a[ok], b[ok]
+            held.append((np.minimum(a, b).astype(np.uint64) << np.uint64(32)) | np.maximum(a, b).astype(np.uint64))
+            total += len(a)
+            if total >= 1 << 21:
+                yield from out()
+                total = 0
+        step += 1
+    yield from out()
+
+
 def _meetings(percent: int):
-    """Pairs that meet in the lists of one part, with how often: across labels only, of sizes that fit."""
+    """The lists of one part, merged."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate([np.frombuffer(x.as_buffer(), POSTING) for b in batches for x in b.column("rows")] or [np.zeros(0, POSTING)])
-        rows = rows[np.argsort(rows["h"], kind="stable")]
-        ids, c = np.unique(rows["c"], return_inverse=True)
-        size = np.zeros(len(ids), np.int64)
-        size[c] = rows["n"]
-        first = np.flatnonzero(np.diff(rows["h"], prepend=rows["h"][:1] + np.uint64(1)))
-        count = np.diff(np.append(first, len(rows)))
-        if len(first):
-            mixed = np.minimum.reduceat(rows["label"], first) < np.maximum.reduceat(rows["label"], first)
-            keep = np.repeat(mixed, count)
-            rows, c, count = rows[keep], c[keep], count[mixed]
-        label, left = rows["label"], np.repeat(count, count) - (np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count))
-        held: list[np.ndarray] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if held:
-                key, n = np.unique(np.concatenate(held), return_counts=True)
-                held.clear()
-                x, y = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                for i in range(0, len(key), 1 << 16):
-                    s = slice(i, i + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[x[s]]), pa.array(ids[y[s]]), pa.array(size[x[s]]), pa.array(size[y[s]]), pa.array(n[s].astype(np.int64))], names=["x", "y", "nx", "ny", "k"])
-
-        at, step, total = np.arange(len(rows)), 1, 0
-        while len(at := at[left[at] > step]):
-            for i in range(0, len(at), 1 << 20):
-                p = at[i : i + (1 << 20)]
-                a, b = c[p], c[p + step]
-                na, nb = size[a], size[b]
-                ok = (label[p] != label[p + step]) & (a != b) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-                a, b = a[ok], b[ok]
-                held.append((np.minimum(a, b).astype(np.uint64) << np.uint64(32)) | np.maximum(a, b).astype(np.uint64))
-                total += len(a)
-                if total >= 1 << 22:
-                    yield from out()
-                    total = 0
-            step += 1
-        yield from out()
+        held: dict[bool, list[np.ndarray]] = {False: [], True: []}
+        for b in batches:
+            for x, heavy in zip(b.column("rows"), b.column("heavy").to_pylist(), strict=True):
+                held[heavy].append(np.frombuffer(x.as_buffer(), HEAVY if heavy else POSTING))
+        for rows in held.values():
+            if rows:
+                yield from _merged(np.concatenate(rows), percent)
 
     return work
 
 
 def met_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (x, y): classes (c, label, n, short) of different labels that meet in enough short lists."""
+    """Candidate pairs (x, y): classes (c, label, n, short, light, parity) of different labels that meet in enough short lists."""
     spark = classes.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = classes.select("c", "label", "n", "short").mapInArrow(_deal(8 * tasks), "part int, rows binary")
+    dealt = classes.select("c", "label", "n", "short", "light", "parity").mapInArrow(_deal(8 * tasks), "part int, rows binary, heavy boolean")
     meet = _meetings(percent)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,13 +338,14 @@ def labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id of every document (doc_id, text)."""
+    text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     base = written(sketched(docs, words, percent, shingle_levels(docs, words)), "sketches")
     ids = base.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("id"))
-    full = base.where("c IS NOT NULL").alias("f").join(ids.alias("i"), F.col("f.c").eqNullSafe(F.col("i.c")) & F.col("f.doc_id").eqNullSafe(F.col("i.id"))).select("f.c", "i.id", "f.n", "f.bands", "f.short", "f.parity")
+    full = base.where("c IS NOT NULL").alias("f").join(ids.alias("i"), F.col("f.c").eqNullSafe(F.col("i.c")) & F.col("f.doc_id").eqNullSafe(F.col("i.id"))).select("f.c", "i.id", "f.n", "f.bands", "f.short", "f.light", "f.parity")
     near = written(banded_pairs(full), "pairs")
     first = written(probed(near, docs, ids, words, percent), "first")
-    met = met_pairs(labelled(full.select("c", "n", "short"), first), percent)
+    met = met_pairs(labelled(full.select("c", "n", "short", "light", "parity"), first), percent)
     candidates = written(sieved(met, full.select("c", "n", "parity"), percent), "pairs")
     second = written(probed(candidates, docs, ids, words, percent), "second")
     groups = labelled(ids, first.unionAll(second))
