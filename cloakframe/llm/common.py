@@ -62,6 +62,13 @@ def _clean() -> None:
             return
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches for whole texts: fewer rows than Spark's default of 10000, unless the session has its own number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def utf8_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and its n + 1 offsets (into those bytes); nulls have no bytes."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

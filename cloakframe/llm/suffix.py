@@ -9,7 +9,8 @@ string, which repeats if the regions that hold it occur more than once in all. S
 to the texts by region, and each text unites what they cover.
 
 A shard may be far larger than memory: the sorter's queues are on disk. An anchor with over HOT distinct regions would not fit one
-task at any scale; its strings are dealt one by one by their own 128-bit hashes, counted with partial sums.
+task at any scale; its regions are cut into cells of 32 starts, dealt by 128-bit hashes of what a cell's strings have in common. Where cells of one
+hash differ, their strings' own hashes are compared: together if they are few, else dealt one by one; all with partial sums.
 
 Defined results: a null text is empty; texts under `length` bytes never lose a byte; repeated rows are repeated texts, of
 which each loses what they share; rows are kept one for one, whatever their ids.
@@ -24,14 +25,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cloakframe.llm.common import slices, table, utf8_views, written
+from cloakframe.llm.common import slices, table, text_batches, utf8_views, written
 from cloakframe.llm.induced import repeated
 from cloakframe.llm.shingles import mix, powers
 
 LENGTH = 400
 #: An anchor with more distinct regions than this is dealt by string.
-HOT = 256
-PART = 1 << 22
+HOT, CELL = 256, 32
+#: Cells of one key that are looked at together; those of a key with more are taken apart.
+TOGETHER = 512
+PART = 1 << 21
+_PLACE = np.uint64((1 << 24) - 1)
+#: Starts of a text that are looked at together; a longer text gives regions that end there.
+STRETCH = 1 << 23
 #: Bytes of queues that a sorter keeps in memory.
 BUDGET = 1 << 27
 
@@ -51,23 +57,13 @@ def _run_hash(totals: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.
 
 
 def _last_minimum(h: np.ndarray, window: int) -> np.ndarray:
-    """For each run of `window` values where the smallest is, the last of equals."""
+    """For each run of `window` values the place of the one with the smallest 40 high bits, the last of equals. At most 2^24 values."""
     n = len(h) - window + 1
-    pad = -len(h) % window
-    rows = np.append(h, np.full(pad, ~np.uint64(0))).reshape(-1, window)
+    key = (h & ~_PLACE) | (_PLACE - np.arange(len(h), dtype=np.uint64))
+    rows = np.append(key, np.full(-len(h) % window, ~np.uint64(0))).reshape(-1, window)
     ahead = np.minimum.accumulate(rows, axis=1).ravel()
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[:n], ahead[window - 1 : window - 1 + n])
-    # the last place at or before the run's end whose value is the run's least
-    same = np.empty(n, np.int64)
-    change = np.flatnonzero(np.diff(least)) + 1
-    for a, b in zip(np.append(0, change).tolist(), np.append(change, n).tolist(), strict=True):
-        hits = a + np.flatnonzero(h[a : b + window - 1] == least[a])
-        if len(hits) == 1:
-            same[a:b] = hits[0]
-        else:
-            same[a:b] = hits[np.searchsorted(hits, np.arange(a, b) + window - 1, side="right") - 1]
-    return same
+    return (_PLACE - (np.minimum(behind[:n], ahead[window - 1 : window - 1 + n]) & _PLACE)).astype(np.int64)
 
 
 def gram(length: int) -> int:
@@ -81,6 +77,9 @@ def regions(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     n = len(raw) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if n > STRETCH:
+        parts = [(i, regions(raw[i : i + STRETCH + length - 1], length)) for i in range(0, n, STRETCH)]
+        return tuple(np.concatenate([p[c] + i if c == 0 else p[c] for i, p in parts]) for c in range(4))
     k = gram(length)
     at = np.arange(len(raw) - k + 1)
     h = _run_hash(_totals(raw), at, at + k)
@@ -180,27 +179,104 @@ def _sorted_shard(length: int, budget: int):
     return work
 
 
-def _hot_strings(length: int):
-    """Every string of a hot anchor's regions by its own hash."""
+def _hot_cells(length: int):
+    """The regions of hot anchors in cells: strings whose anchor lies in them at one of CELL places. Of each cell its key (the bytes that all
+    strings of the cell have in common, and the place), a digest of all its bytes, and its strings' own hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "data", 1 << 18):
-                raw, off = utf8_views(part.column("data"))
-                n = part.column("n").to_numpy().astype(np.int64)
-                row = np.repeat(np.arange(len(n)), n)
-                inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                at = off[row] + inside
-                take = pa.array(row)
-                cols = [pa.array(_run_hash(_totals(raw, s), at, at + length).view(np.int64)) for s in (1, 2)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(inside.astype(np.int32)), *(part.column(c).take(take) for c in ("g1", "g2", "m"))], names=["w1", "w2", "first", "g1", "g2", "m"])
+            cols = [[] for _ in range(6)]
+            hashes, row = [], []
+            raw, off = utf8_views(batch.column("data"))
+            for i in range(batch.num_rows):
+                one = raw[off[i] : off[i + 1]]
+                totals = [_totals(one, seed) for seed in (1, 2)]
+                s = np.arange(len(one) - length + 1)
+                k = gram(length)
+                at = np.arange(len(one) - k + 1)
+                anchor = _last_minimum(_run_hash(totals[0], at, at + k), length - k + 1)
+                place = (anchor - s) // CELL
+                first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (place[1:] != place[:-1])))
+                last = np.append(first[1:], len(s))
+                core = anchor[first] - CELL * place[first]
+                for c, t in zip(cols, totals, strict=False):
+                    c.append(mix(_run_hash(t, core, core - CELL + 1 + length) + place[first].astype(np.uint64)))
+                for c, t in zip(cols[2:], totals, strict=False):
+                    c.append(_run_hash(t, first, last - 1 + length))
+                cols[4].append(first)
+                cols[5].append(last)
+                both = np.stack([_run_hash(t, s, s + length) for t in totals], axis=1)
+                hashes += [both[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                row.append(np.full(len(first), i))
+            if row:
+                k1, k2, d1, d2, first, last = map(np.concatenate, cols)
+                take = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x.view(np.int64)) for x in (k1, k2, d1, d2)), *(batch.column(c).take(take) for c in ("g1", "g2", "m")), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(hashes, pa.binary())],
+                    names=["k1", "k2", "d1", "d2", "g1", "g2", "m", "first", "last", "strings"],
+                )
 
     return work
 
 
+CELL_KEY = ["k1", "k2", "d1", "d2"]
+_KEYS = "k1 long, k2 long, d1 long, d2 long"
+
+
+def _each_string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells to single strings."""
+    for batch in batches:
+        raw, off = utf8_views(batch.column("strings"))
+        both, count = np.frombuffer(raw.tobytes(), np.int64).reshape(-1, 2), np.diff(off) // 16
+        row = np.repeat(np.arange(batch.num_rows), count)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        take = pa.array(row)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(place.astype(np.int32)), *(batch.column(c).take(take) for c in (*CELL_KEY, "m"))], names=["w1", "w2", "a", *CELL_KEY, "m"])
+
+
+def _few_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of repeated strings among distinct cells that are looked at together."""
+    rows = pa.Table.from_batches(list(batches)).combine_chunks()
+    raw, off = utf8_views(rows.column("strings"))
+    count = np.diff(off) // 16
+    row = np.repeat(np.arange(len(count)), count)
+    both = np.frombuffer(raw.tobytes(), np.dtype([("a", "<u8"), ("b", "<u8")]))
+    order = np.lexsort((both["b"], both["a"]))
+    ordered = both[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    many = np.add.reduceat(rows.column("m").to_numpy()[row[order]], first) > 1
+    repeats = np.zeros(len(row), bool)
+    repeats[order] = np.repeat(many, np.diff(np.append(first, len(row))))
+    start = np.cumsum(count) - count
+    a, b = _runs(np.insert(repeats, start, False))  # a gap before each cell, so that no run goes on in the next one
+    gap = start + np.arange(len(start))
+    which = np.searchsorted(gap, a, side="right") - 1
+    take = pa.array(which)
+    yield pa.RecordBatch.from_arrays([*(rows.column(c).take(take).combine_chunks() for c in CELL_KEY), pa.array((a - gap[which] - 1).astype(np.int32)), pa.array((b - gap[which] - 1).astype(np.int32))], names=[*CELL_KEY, "a", "b"])
+
+
+def hot_runs(data: DataFrame, length: int, parts: int) -> DataFrame:
+    """g1, g2, runs (of repeated starts) of the regions of hot anchors. A cell that is the only one of its key repeats whole if it occurs twice;
+    the strings of different cells of one key are compared."""
+    cells = written(data.mapInArrow(_hot_cells(length), f"{_KEYS}, g1 long, g2 long, m long, first int, last int, strings binary"), "cells")
+    distinct = cells.groupBy(*CELL_KEY).agg(F.sum("m").alias("m"), F.min("strings").alias("strings"))
+    keys = cells.groupBy(*CELL_KEY).agg(F.sum("m").alias("m")).groupBy("k1", "k2").agg(F.sum("m").alias("all"), F.count("*").alias("n")).where("all > 1")
+    known = written(distinct.join(keys, ["k1", "k2"]), "known")
+    same = known.where("n = 1").select(*CELL_KEY, F.lit(0).alias("a"), (F.octet_length("strings") / 16).cast("int").alias("b"))
+    some = known.where(F.col("n").between(2, TOGETHER)).select(F.pmod(F.xxhash64("k1", "k2"), F.lit(parts)).cast("int").alias("part"), *CELL_KEY, "m", "strings")
+    few = some.groupBy("part").applyInArrow(_few_cells, f"{_KEYS}, a int, b int")
+    strings = known.where(F.col("n") > TOGETHER).select(*CELL_KEY, "m", "strings").mapInArrow(_each_string, f"w1 long, w2 long, a int, {_KEYS}, m long")
+    again = strings.groupBy("w1", "w2").agg(F.sum("m").alias("k")).where("k > 1").select("w1", "w2")
+    single = strings.join(again, ["w1", "w2"], "left_semi").select(*CELL_KEY, "a", (F.col("a") + 1).alias("b"))
+    packed = same.unionAll(few).unionAll(single).groupBy(*CELL_KEY).agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    moved = F.transform("runs", lambda r: F.struct((F.col("first") + r["a"]).alias("first"), (F.col("first") + r["b"]).alias("last")))
+    return cells.select(*CELL_KEY, "g1", "g2", "first").join(packed, CELL_KEY).select("g1", "g2", moved.alias("runs"))
+
+
 def removed_ranges(docs: DataFrame, length: int = LENGTH, budget: int = BUDGET) -> DataFrame:
     """t, len and covers (list of from, to: bytes covered by repeated strings, may overlap) of every text that loses bytes."""
     spark = docs.sparkSession
+    text_batches(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = written(found_regions(docs, length), "regions")
     twice = every.groupBy("h").agg(F.sum("k").alias("k")).where("k > 1").select("h")
@@ -215,12 +291,10 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, budget: int = BUDGET)
         yield from sort(batches)
 
     cool = data.where("NOT hot").select(F.pmod(F.xxhash64("h"), F.lit(4 * tasks)).cast("int").alias("shard"), "g1", "g2", "m", "data")
-    by_sorting = cool.groupBy("shard").applyInArrow(grouped, "g1 long, g2 long, first int, last int")
-    strings = data.where("hot").select("n", "g1", "g2", "m", "data").mapInArrow(_hot_strings(length), "w1 long, w2 long, first int, g1 long, g2 long, m long")
-    again = strings.groupBy("w1", "w2").agg(F.sum("m").alias("k")).where("k > 1").select("w1", "w2")
-    by_string = strings.join(again, ["w1", "w2"], "left_semi").select("g1", "g2", "first", (F.col("first") + 1).alias("last"))
+    by_sorting = cool.groupBy("shard").applyInArrow(grouped, "g1 long, g2 long, first int, last int").select("g1", "g2", F.array(F.struct("first", "last")).alias("runs"))
+    by_string = hot_runs(data.where("hot").select("g1", "g2", "m", "data"), length, 4 * tasks)
     runs = written(by_sorting.unionAll(by_string), "runs")
-    packed = runs.groupBy("g1", "g2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    packed = runs.groupBy("g1", "g2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     # copies of a text give the same rows; one of each is enough, and is what the partial aggregation leaves
     places = candidates.groupBy("t", "len", "start", "g1", "g2").agg(F.lit(1).alias("one"))
     covers = F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("a"), (F.col("start") + r["last"] + (length - 1)).alias("b")))
