@@ -12,10 +12,10 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (u, v of long) to (node, label): each linked node, and the smallest node that it can reach.
+    """links (u, v of long) to (node, label): each node that reaches a smaller one, and the smallest that it reaches.
 
     Every round is a table in the shared folder; a node with very many neighbours is only ever an end of a join that
-    Spark can split, never a group in one task. Nodes without links, and links of a node to itself, give no row."""
+    Spark can split, never a group in one task. The smallest node of a component, nodes without links, and links of a node to itself give no row."""
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
     edges = written(edges, "links")
     state = _state(edges)
