@@ -268,7 +268,8 @@ def hot_runs(data: DataFrame, length: int, parts: int) -> DataFrame:
     strings = known.where(F.col("n") > TOGETHER).select(*CELL_KEY, "m", "strings").mapInArrow(_each_string, f"w1 long, w2 long, a int, {_KEYS}, m long")
     again = strings.groupBy("w1", "w2").agg(F.sum("m").alias("k")).where("k > 1").select("w1", "w2")
     single = strings.join(again, ["w1", "w2"], "left_semi").select(*CELL_KEY, "a", (F.col("a") + 1).alias("b"))
-    packed = same.unionAll(few).unionAll(single).groupBy(*CELL_KEY).agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    # written, so that the join below can split a cell that very many regions have
+    packed = written(same.unionAll(few).unionAll(single).groupBy(*CELL_KEY).agg(F.collect_list(F.struct("a", "b")).alias("runs")), "packed")
     moved = F.transform("runs", lambda r: F.struct((F.col("first") + r["a"]).alias("first"), (F.col("first") + r["b"]).alias("last")))
     return cells.select(*CELL_KEY, "g1", "g2", "first").join(packed, CELL_KEY).select("g1", "g2", moved.alias("runs"))
 
