@@ -286,7 +286,7 @@ def met_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (x, y): classes (c, label, n, short, light, parity) of different labels that meet in enough short lists."""
     spark = classes.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = classes.select("c", "label", "n", "short", "light", "parity").mapInArrow(_deal(8 * tasks), "part int, rows binary, heavy boolean")
+    dealt = classes.select("c", "label", "n", "short", "light", "parity").mapInArrow(_deal(2 * tasks), "part int, rows binary, heavy boolean")
     meet = _meetings(percent)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
