@@ -2,8 +2,9 @@
 
 A pair of neighbouring bytes that is inside no token of the vocabulary can't be merged across, so a token boundary
 lies there for certain. Texts are cut before ASCII white space that follows a character which isn't white space, where
-the byte pair is such a forced one (the pre-tokenizer's pattern always ends a match there as well); each fragment is encoded
-on its own and the ids are concatenated. Fragments repeat, so a bounded cache of fragments does most of the work.
+the byte pair is such a forced one (the pre-tokenizer's pattern always ends a match there as well), at the first such place after
+SPAN characters; each fragment is encoded on its own and the ids are concatenated. So the work and memory of encoding
+follow the fragment and not the text.
 
 Defined results: a null text is an empty one and has no ids; every other text, however long, decodes to itself. Added
 tokens of the file (their strings in a text) are found as the library finds them. Rows are kept one for one.
@@ -11,6 +12,7 @@ tokens of the file (their strings in a text) are found as the library finds them
 
 from __future__ import annotations
 
+import array
 import hashlib
 import json
 import re
@@ -24,8 +26,12 @@ from cloakframe.llm.common import slices, table
 
 #: Unicode's White_Space characters.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Fragments up to this length are kept in the cache, and this many of them.
-CACHED_CHARS, CACHED = 40, 400_000
+#: Fixed value: the pre-tokenizer's pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fragments end at the first forced boundary after so many characters.
+SPAN = 256
+#: Fragments that have no boundary for so many are left to the slower library, whose time is not the square of a fragment's length.
+LONG = 4096
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -62,30 +68,36 @@ class ForcedBoundaryBpe:
         good = [bool(forced[last[c]]) and not 0xD800 <= c < 0xE000 and not space.match(chr(c)) for c in range(0x10000)]
         edges = np.flatnonzero(np.diff(np.array([False, *good, False]).astype(np.int8)))
         before = "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in edges.reshape(-1, 2).tolist())
-        self.fragment = re.compile(f"[{_SPACE}]*[^{_SPACE}]+(?:(?:(?<![{before}])|(?![\\t-\\r ]))[{_SPACE}]+[^{_SPACE}]*)*|[{_SPACE}]+")
-        self.cache: dict[str, bytes] = {}
+        self.fragment = re.compile(f"(?s).{{{SPAN},}}?(?:(?<=[{before}])(?=[\\t-\\r ])|\\Z)|.+")
+        self.quick = self._quick(spec, {t: i for i, t in vocabulary.items() if i not in added}, added)
+
+    @staticmethod
+    def _quick(spec: dict, ranks: dict[bytes, int], added: dict[int, bytes]):
+        """A faster encoder of the same vocabulary, if the file is one whose tokens' ids are their merges' ranks; else None."""
+        pre, model = spec["pre_tokenizer"] or {}, spec["model"]
+        alphabet = byte_alphabet()
+        made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        ids = [ranks.get(bytes(map(alphabet.__getitem__, t)), -1) for t in made]
+        plain = spec["normalizer"] is None and spec["post_processor"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        ranked = all(a < b for a, b in zip(ids, ids[1:], strict=False)) and ids[:1] > [255] and all(ranks.get(bytes([b]), 256) < 256 for b in range(256)) and not model.get("ignore_merges") and not model.get("dropout")
+        exact = all(not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]) for x in spec["added_tokens"])
+        if not (plain and ranked and exact):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={t.decode(): i for i, t in added.items()})
 
     def fragments(self, text: str) -> list[str]:
         return self.fragment.findall(text)
 
-    def _learn(self, texts: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return {t: np.array(e.ids, "<u4").tobytes() for t, e in zip(texts, found, strict=True)}
+    def _encode(self, fragment: str) -> bytes:
+        if self.quick is None or len(fragment) > LONG:
+            return np.array(self.tokenizer.encode(fragment, add_special_tokens=False).ids, "<u4").tobytes()
+        return array.array("I", self.quick.encode(fragment, allowed_special="all")).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [self.fragments(t) for t in texts]
-        cache = self.cache
-        if len(cache) > CACHED:
-            cache.clear()
-        new = set().union(*parts).difference(cache)
-        found = self._learn(list(new))
-        known = cache if not found else None
-        cache.update((k, v) for k, v in found.items() if len(k) <= CACHED_CHARS)
-        if known is None:
-            long = {k: v for k, v in found.items() if len(k) > CACHED_CHARS}
-            return [b"".join([cache[x] if len(x) <= CACHED_CHARS else long[x] for x in p]) for p in parts]
-        return [b"".join([known[x] for x in p]) for p in parts]
+        return [b"".join(map(self._encode, self.fragments(t))) for t in texts]
 
     def decode(self, ids: bytes) -> str:
         at = np.frombuffer(ids, "<u4").tolist()

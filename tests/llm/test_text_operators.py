@@ -96,7 +96,11 @@ def tokenizer():
     return bpe.loaded(bpe.vocabulary_path())
 
 
-def test_fragments_encode_as_the_whole(tokenizer):
+@pytest.mark.parametrize("span", [1, 256])
+def test_fragments_encode_as_the_whole(span, monkeypatch):
+    monkeypatch.setattr(bpe, "SPAN", span)
+    tokenizer = bpe.ForcedBoundaryBpe(bpe.vocabulary_path())
+    assert tokenizer.quick is not None
     random.seed(3)
     parts = [*"ab ,.\n\t\r '", "\x85", "\xa0", "\u2003", "\u3000", "\x1c", "<|endoftext|>", "é", "à", "'s", "日本", "1", "\x0b", "\u200b", "\ufeff", "😀"]
     for _ in range(4000):
@@ -107,7 +111,10 @@ def test_fragments_encode_as_the_whole(tokenizer):
         assert tokenizer.decode(ids) == tokenizer.tokenizer.decode(want, skip_special_tokens=False)
 
 
-def test_forced_pairs_are_in_no_token(tokenizer):
+def test_forced_pairs_are_in_no_token(monkeypatch):
+    monkeypatch.setattr(bpe, "SPAN", 1)
+    tokenizer = bpe.ForcedBoundaryBpe(bpe.vocabulary_path())
+    assert len(tokenizer.fragments("a b c")) == 3
     for f, g in zip(*(lambda x: (x, x[1:]))(tokenizer.fragments("It's à la carte, voilà  done\n\nnext line, €5 ")), strict=False):
         assert not tokenizer.inside[f.encode()[-1], g.encode()[0]]
 
