@@ -68,11 +68,11 @@ class NotReadable(ProtectionError):
 
 
 class Unprotected(ProtectionError):
-    """A statement uses protected columns in a way that protection can't cover."""
+    """A statement uses protected columns in a way that protection can't cover, or a strict read found a value that isn't sealed."""
 
     def __init__(self, sites):
-        self.sites = list(sites)
-        super().__init__("; ".join(map(str, self.sites)))
+        self.sites = [] if isinstance(sites, str) else list(sites)
+        super().__init__(sites if isinstance(sites, str) else "; ".join(map(str, self.sites)))
 
 
 class FpeDomain(ProtectionError):
@@ -132,7 +132,7 @@ def translated(error: Exception) -> Exception:
     text = str(error)
     for name, kind in BY_NAME.items():
         if f"{name}: " in text:
-            return kind(text.split(f"{name}: ", 1)[1].split("\n")[0]) if kind is not Unprotected else error
+            return kind(text.split(f"{name}: ", 1)[1].split("\n")[0])
     if "AES_CRYPTO_ERROR" in text or "Tag mismatch" in text:
         return Decrypt("a stored value does not authenticate")
     return error

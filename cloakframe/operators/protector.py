@@ -169,7 +169,7 @@ class Protector:
         """df with its tagged columns opened and then masked; companions are dropped. Failed authentication, unknown keys and
         missing row keys raise when Spark evaluates the value. Encrypted text columns come back as binary unless their values were declared text.
 
-        lenient: columns that can't be read (tokens) keep their stored form, else NotReadable. quiet: null for values that fail, for reports only."""
+        lenient: columns that can't be read (tokens) keep their stored form, else NotReadable; values that aren't sealed pass, else Unprotected. quiet: null for values that fail, for reports only."""
         names = [f"__c{i}" for i in range(len(df.columns))]
         found = self._protected(df)
         if len(set(df.columns)) != len(df.columns):
@@ -188,10 +188,15 @@ class Protector:
                 bound = self.policy.table_of(c.table)
                 row = None if at is None else row_key(F.col(names[at]), kind_of(df.schema[at].dataType, bound.kind))
                 value = env.open_(F.col(names[i]), F.col(f"__v{i}"), c.name, row, bool(bound and bound.strict_row_binding), quiet)
+                if not lenient:
+                    value = F.when(F.col(names[i]).isNotNull() & F.col(f"__id{i}").isNull(), F.raise_error(F.lit(f"Unprotected: a value of {c.name} is not sealed")).cast("binary")).otherwise(value)
                 large = F.octet_length(names[i]) > self.policy.max_protected_value_bytes
                 value = F.when(large, F.raise_error(F.lit("ProtectedValueTooLarge: a stored value exceeds the ceiling")).cast("binary")).otherwise(value)
             elif c.transform == "fpe" and c.readable:
                 value = fpe.open_digits(self.spark, F.col(names[i]), self.keys.index_key(c.name))
+                if not lenient:
+                    short = fpe.digits_in(F.col(names[i])) < fpe.LEAST_DIGITS
+                    value = F.when(short, F.raise_error(F.lit(f"Unprotected: a value of {c.name} is not sealed")).cast("string")).otherwise(value)
             elif not c.readable and not lenient:
                 raise E.NotReadable(c.name)
             else:
@@ -202,6 +207,15 @@ class Protector:
         keep = [i for i, f in enumerate(df.schema) if "index_of" not in f.metadata]
         return out.select(*[made.get(i, F.col(names[i])).alias(df.columns[i]) for i in keep])
 
+    def kinds_df(self, df: DataFrame) -> DataFrame:
+        """df with a column <name>__kind for each tagged column: `value` if open_df turns a value back, `unprotected` if it passes as it is, null for nulls."""
+
+        def kind(name: str, c: ColumnPolicy) -> Column:
+            sealed = env.envelope_of(_quoted(name)).isNotNull() if c.transform == "encrypt" else fpe.digits_in(_quoted(name)) >= fpe.LEAST_DIGITS if c.transform == "fpe" and c.readable else F.lit(False)
+            return F.when(_quoted(name).isNotNull(), F.when(sealed, "value").otherwise("unprotected")).alias(f"{name}__kind")
+
+        return df.select("*", *[kind(df.columns[i], c) for i, c in self._protected(df).items()])
+
     def open_text_df(self, df: DataFrame, **how) -> DataFrame:
         """open_df with encrypted columns as text; values that aren't UTF-8 raise."""
         opened = self.open_df(df, **how)

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from cloakframe import errors as E, queries as Q
-from cloakframe.functions import envelope as env
+from cloakframe.functions import envelope as env, literals
 from cloakframe.functions.mask import Mask, mask_binary
 from cloakframe.functions.rowkey import row_key
 from cloakframe.operators.policy import ColumnPolicy, Policy, TablePolicy
 from cloakframe.operators.protector import Protector
 from cloakframe.plans.front import ProtectedSql
 from cloakframe.plans.sites import KINDS
+from cloakframe.sources import tables
 from cloakframe.sources.scratch import materialized
 from tests.conftest import SF
 
@@ -198,3 +199,31 @@ def test_improved_sites(spark, stored, keys):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_strict_reads_refuse_what_is_not_sealed(spark, stored, keys):
+    p = Protector(spark, Policy([ColumnPolicy("users", "email", searchable=True)], [TablePolicy("users", "id")]), keys)
+    mixed = p.tag(stored.select("id", "email").unionAll(spark.createDataFrame([(9, bytearray(b"plain")), (10, None)], "id long, email binary")), "users")
+    assert p.open_df(mixed).count() == 6
+    assert {r["email__kind"] for r in p.kinds_df(mixed).collect()} == {"value", "unprotected", None}
+    with pytest.raises(Exception) as e:
+        p.open_df(mixed, lenient=False).collect()
+    assert isinstance(E.translated(e.value), E.Unprotected)
+    p.open_df(mixed.where("id < 9 OR id = 10"), lenient=False).collect()
+
+
+def test_literals(spark):
+    assert literals.literal_bytes("\\x00ff", "binary") == b"\x00\xff" and literals.literal_bytes("\\x00ff", "string") == b"\\x00ff" and literals.literal_bytes("\\xzz", "binary") == b"\\xzz"
+    df = spark.createDataFrame([("\\x00ff",), ("\\xz",), (None,)], "t string")
+    rows = df.select(literals.literal_column(F.col("t"), "binary").alias("b"), literals.hex_text(literals.literal_column(F.col("t"), "binary")).alias("h")).collect()
+    assert [None if r["b"] is None else bytes(r["b"]) for r in rows] == [b"\x00\xff", b"\\xz", None] and rows[0]["h"] == "\\x00ff"
+
+
+def test_updates_of_the_sealed_table(spark, users, stored, keys, tmp_path):
+    p = Protector(spark, POLICY, keys)
+    tables.write_sealed(p, users, "users", str(tmp_path / "u"))
+    back = tables.read_sealed(p, "users", str(tmp_path / "u"))
+    changes = spark.createDataFrame([(1, "new@x")], "id long, email string")
+    opened = {r["id"]: r["email"] for r in p.open_text_df(materialized(tables.update_by_key(p, back, changes, "users"), "u"), masked=False).collect()}
+    assert opened == {1: "new@x", 2: None, 3: "", -4: "éè"}
+    assert p.verify_df(back) == 4
