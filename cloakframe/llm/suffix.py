@@ -280,7 +280,8 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, budget: int = BUDGET)
     text_batches(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = written(found_regions(docs, length), "regions")
-    twice = every.groupBy("h").agg(F.sum("k").alias("k")).where("k > 1").select("h")
+    # what is joined below is written first: a join can split a hot key only if both of its sides come from shuffles of its own
+    twice = written(every.groupBy("h").agg(F.sum("k").alias("k")).where("k > 1").select("h"), "twice")
     candidates = written(every.join(twice, "h", "left_semi"), "candidates")
     groups = candidates.groupBy("h", "g1", "g2", "n").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "t", "len", "start")).alias("at"))
     groups = written(groups.select("h", "g1", "g2", "n", "m", "at.*"), "groups")
@@ -318,7 +319,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
     others = [c for c in docs.columns if c not in (*names, "text")]
     base = docs.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     source = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranges = removed_ranges(source, length).alias("r")
+    ranges = written(removed_ranges(source, length), "ranges").alias("r")
     keyed = base.select("*", *[k.alias(f"__{n}") for k, n in zip(text_key(), ("t", "len"), strict=True)])
     both = keyed.join(ranges, (F.col("__t") == F.col("r.t")) & (F.col("__len") == F.col("r.len")), "left").select(*[F.col(f"`{c}`") for c in others], "text", "covers")
     schema = ", ".join([*(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in others), *added])
