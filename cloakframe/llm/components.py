@@ -21,9 +21,9 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
+        large = written(both.join(least, "x").where("y > x").select(F.col("y").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         joined = large.join(low, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b"))).distinct()
         edges = written(small, "links")

@@ -176,7 +176,7 @@ def probed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, pe
 def banded_pairs(classes: DataFrame) -> DataFrame:
     """Each class with the smallest class of each of its bands: at most 8 pairs a class."""
     rows = classes.select("c", F.explode("bands").alias("band"))
-    stars = rows.groupBy("band").agg(F.min("c").alias("y"), F.count("*").alias("k")).where("k > 1").drop("k")
+    stars = written(rows.groupBy("band").agg(F.min("c").alias("y"), F.count("*").alias("k")).where("k > 1").drop("k"), "stars")  # so that the join can split a hot band
     return rows.join(stars, "band").where("c <> y").select(F.col("c").alias("x"), "y").distinct()
 
 
@@ -356,8 +356,21 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return joined(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {"op10_jaccard": op10_jaccard}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op10_jaccard": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.v, r.c FROM reach r JOIN links l ON l.u = r.doc_id),
+least AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
+}
