@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cloakframe.llm.common import new_folder, table
+from cloakframe.llm.common import new_folder, table, written
 
 LEAST_BYTES, RECORDS_A_FILE = 1000, 3000
 CRLF, END = "\r\n", "\r\n\r\n"
@@ -34,7 +34,7 @@ def captures(rows: DataFrame, key: str, payload: str, uri: str, least: int = LEA
     base = rows.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{uri}`").cast("string"), F.lit("")).alias("uri"), text.alias("payload"))
     base = base.withColumns({"digest": F.sha1(F.col("payload").cast("binary")), "n_bytes": F.octet_length("payload").cast("long")})
     # counted without the payloads; the map holds digests that occur more than once only
-    stored = base.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.max("key").alias("__top"), F.count("*").alias("__n")).where("__n > 1 AND __top IS NOT NULL").drop("__n")
+    stored = written(base.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.max("key").alias("__top"), F.count("*").alias("__n")).where("__n > 1 AND __top IS NOT NULL").drop("__n"), "stored")  # so that the join can split a hot digest
     out = base.join(stored, "digest", "left")
     return out.withColumn("refers_to", F.when(~F.col("key").eqNullSafe(F.col("__top")), F.col("__top"))).drop("__top")
 
