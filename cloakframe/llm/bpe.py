@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cloakframe.llm.common import slices, table
+from cloakframe.llm.common import lean, slices, table, text_batches
 
 #: Unicode's White_Space characters.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -121,6 +121,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, the ids themselves of every whole text."""
+    text_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +139,7 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                     cols.append(pa.array(ids, pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(work), schema)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,10 +28,10 @@ class Queue:
 
     def __init__(self, keys: int, budget: int):
         self.chunks: list[list] = [[] for _ in range(keys)]
-        self.budget, self.used, self.file = budget, 0, None
+        self.budget, self.used, self.file, self.kind = budget, 0, None, np.dtype(np.int64)
 
     def put(self, key: int, pos: np.ndarray, lcp: np.ndarray) -> None:
-        size = pos.nbytes + lcp.nbytes
+        self.kind, size = pos.dtype, pos.nbytes + lcp.nbytes
         if self.used + size <= self.budget:
             self.used += size
             self.chunks[key].append((pos, lcp))
@@ -48,8 +48,9 @@ class Queue:
             return chunk
         at, n = chunk
         self.file.seek(at)
-        data = self.file.read(12 * n)
-        return np.frombuffer(data, np.int64, n), np.frombuffer(data, np.int32, n, 8 * n)
+        wide = self.kind.itemsize
+        data = self.file.read((wide + 4) * n)
+        return np.frombuffer(data, self.kind, n), np.frombuffer(data, np.int32, n, wide * n)
 
     def _join(self, chunks: list) -> tuple[np.ndarray, np.ndarray]:
         if len(chunks) == 1:
@@ -85,12 +86,13 @@ class Queue:
 def types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each suffix is S, and the length of the run of equal characters at its start."""
     n = len(text)
-    step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int32) - text[:-1])
-    step[-1] = 1
-    at = np.flatnonzero(step)
-    turn = at[np.searchsorted(at, np.arange(n))]
-    return step[turn] > 0, (turn - np.arange(n) + 1).astype(np.int32)
+    step = np.ones(n, np.int8)
+    step[:-1] = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1])
+    at = np.flatnonzero(step).astype(np.int32 if n < 1 << 31 else np.int64)
+    size = np.diff(at, prepend=-1)
+    run = np.repeat(at, size)
+    run -= np.arange(-1, n - 1, dtype=run.dtype)
+    return np.repeat(step[at] > 0, size), run.astype(np.int32, copy=False)
 
 
 class _Feed:
@@ -163,7 +165,7 @@ def induce(text: np.ndarray, is_s: np.ndarray, run: np.ndarray, star: np.ndarray
             yield pos, lcp, True
         down.chunks[c] = []
         if c == 0:  # no suffix follows the last one, so none induces it; it is the smallest
-            yield np.array([len(text) - 1]), np.array([0 if first else 1], np.int32), True
+            yield np.array([len(text) - 1], star.dtype), np.array([0 if first else 1], np.int32), True
             first, low = False, 1
         join = True
         for pos, lcp in up.backwards(c):
@@ -235,16 +237,16 @@ def suffixes(text: np.ndarray, cap: int, budget: int = 1 << 28) -> Iterator[tupl
     """All suffixes of text (its last character is 0, which ends each part; no part is empty) from the largest to the smallest: positions, and common prefixes with the one before."""
     is_s, run = types(text)
     run = np.minimum(run, cap).astype(np.int32)
-    star = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    star = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32 if len(text) < 1 << 31 else np.int64)
     if len(star):
         seeds = star[np.argsort(text[star], kind="stable")]
         is_star = np.zeros(len(text), bool)
         is_star[star] = True
         by_substring = np.concatenate([p[is_star[p]] for p, _, s in induce(text, is_s, run, seeds, np.zeros(len(seeds), np.int32), 1, budget, False)])[::-1]
         total, inverse = _hashes(text)
-        index = np.empty(len(text), np.int64)
-        index[star] = np.arange(len(star))
-        stop = np.append(star[1:] + 1, len(text))  # a substring ends with the next S* character
+        index = np.empty(len(text), star.dtype)
+        index[star] = np.arange(len(star), dtype=star.dtype)
+        stop = np.append(star[1:] + 1, len(text)).astype(np.int64)  # a substring ends with the next S* character
         size = (stop - star)[index[by_substring]]
         whole = (total[by_substring + size] - total[by_substring]) * inverse[by_substring]
         other = (np.diff(size, prepend=-1) != 0) | np.concatenate([[True], whole[1:] != whole[:-1]])

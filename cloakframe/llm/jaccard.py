@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cloakframe.llm.common import slices, table, text_batches, utf8_views, written
+from cloakframe.llm.common import lean, slices, table, text_batches, utf8_views, written
 from cloakframe.llm.components import components
 from cloakframe.llm.shingles import mix, shingle_hashes, shingle_sets
 
@@ -37,7 +37,7 @@ BLOCK, LEVELS = 1 << 21, (16, 64, 256, 1024, 4096, 16384, 65536, 1 << 20)
 BANDS, ROWS = 8, 3
 #: Bits of a set's parity, and lists over which a class's partners are dealt.
 PARITY, SPLIT = 1024, 16
-PART = 1 << 20
+PART = 1 << 18
 POSTING = np.dtype([("h", "<u8"), ("c", "<i8"), ("label", "<i8"), ("n", "<i4")])
 #: In lists of shingles that have a level, postings carry a folded parity, so that long lists are sieved where they are merged.
 HEAVY = np.dtype([*POSTING.descr, ("parity", "V64")])
@@ -78,9 +78,12 @@ def shingle_levels(docs: DataFrame, words: int) -> np.ndarray:
 
         def out() -> Iterator[pa.RecordBatch]:
             if held:
-                h, n = np.unique(np.concatenate(held), return_counts=True)
+                h = np.concatenate(held)
                 held.clear()
-                slot, at = np.unique((h[n > 1] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), return_inverse=True)
+                h.sort()
+                first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                n = np.diff(np.append(first, len(h)))
+                slot, at = np.unique((h[first[n > 1]] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), return_inverse=True)
                 sums = np.bincount(at, weights=n[n > 1], minlength=len(slot)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(sums)], names=["slot", "n"])
 
@@ -95,7 +98,7 @@ def shingle_levels(docs: DataFrame, words: int) -> np.ndarray:
                     size = 0
         yield from out()
 
-    counts = written(docs.select("text").mapInArrow(work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= LEVELS[0]), "levels")
+    counts = written(docs.select("text").mapInArrow(lean(work), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= LEVELS[0]), "levels")
     level = np.zeros(1 << SLOT_BITS, np.uint8)
     for least in LEVELS:
         level += _bits(counts.where(F.col("n") >= least), "slot")
@@ -132,7 +135,7 @@ def sketched(docs: DataFrame, words: int, percent: int, level: np.ndarray) -> Da
                     light.append(min(k, int((of == 0).sum())))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary()), pa.array(light, pa.int32()), pa.array(parity, pa.binary())], names=["doc_id", "n", "c", "bands", "short", "light", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(work), schema)
 
 
 def whole_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
@@ -149,7 +152,7 @@ def whole_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
                 found = [s for s in shingle_sets(*utf8_views(part.column("text")), words)]
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["c", "whole"])
 
-    some = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << SLOT_BITS)).alias("slot")).mapInArrow(work, "c long, whole binary")
+    some = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << SLOT_BITS)).alias("slot")).mapInArrow(lean(work), "c long, whole binary")
     return some.join(needed.select("c"), "c", "left_semi")
 
 
@@ -170,7 +173,7 @@ def probed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, pe
                 keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("x", "y", "wx", "wy").mapInArrow(work, "u long, v long")
+    return both.select("x", "y", "wx", "wy").mapInArrow(lean(work), "u long, v long")
 
 
 def banded_pairs(classes: DataFrame) -> DataFrame:
@@ -210,7 +213,7 @@ def _deal(parts: int):
                             rows["parity"] = np.frombuffer((half[: len(half) // 2] ^ half[len(half) // 2 :]).tobytes(), "V64")[0]
                         held[heavy].append(rows)
                         size += len(own) * (1 + 2 * heavy)
-                if size >= 1 << 20:
+                if size >= 1 << 19:
                     for heavy in (0, 1):
                         yield from dealt(held[heavy], bool(heavy))
                     size = 0
@@ -260,7 +263,7 @@ def _merged(rows: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
                 a, b = a[ok], b[ok]
             held.append((np.minimum(a, b).astype(np.uint64) << np.uint64(32)) | np.maximum(a, b).astype(np.uint64))
             total += len(a)
-            if total >= 1 << 21:
+            if total >= 1 << 20:
                 yield from out()
                 total = 0
         step += 1
@@ -286,11 +289,11 @@ def met_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (x, y): classes (c, label, n, short, light, parity) of different labels that meet in enough short lists."""
     spark = classes.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = classes.select("c", "label", "n", "short", "light", "parity").mapInArrow(_deal(2 * tasks), "part int, rows binary, heavy boolean")
+    dealt = classes.select("c", "label", "n", "short", "light", "parity").mapInArrow(lean(_deal(2 * tasks)), "part int, rows binary, heavy boolean")
     meet = _meetings(percent)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from meet(batches)
+        yield from lean(meet)(batches)
 
     met = dealt.groupBy("part").applyInArrow(grouped, "x long, y long, nx long, ny long, k long")
     return met.groupBy("x", "y", "nx", "ny").agg(F.sum("k").alias("k")).where(F.col("k") >= needed_meetings("nx", "ny", percent)).select("x", "y", "k")
@@ -327,7 +330,7 @@ def sieved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 ok = pa.array(apart <= n + m - 2 * least_overlap(n, m, percent))
                 yield pa.RecordBatch.from_arrays([items.field("x").filter(ok), rows.column("y").take(pa.array(at)).filter(ok)], names=["x", "y"])
 
-    return both.mapInArrow(work, "x long, y long")
+    return both.mapInArrow(lean(work), "x long, y long")
 
 
 def labelled(classes: DataFrame, links: DataFrame) -> DataFrame:

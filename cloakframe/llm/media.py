@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cloakframe.llm.common import slices, table
+from cloakframe.llm.common import lean, slices, table, text_batches
 
 UNIT, TILE = 192, 16
 
@@ -167,6 +167,7 @@ def store_payload(payload: bytes) -> bytes:
 def text_media(docs: DataFrame) -> DataFrame:
     """Each whole text (null: empty) as UTF-8, padded with spaces to a positive multiple of 192 bytes, stored as an image's
     samples, read back and described: equal texts give equal values. Rows are kept one for one, repeated ones too."""
+    text_batches(docs.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_kind string, tile_bytes long"
 
     def row(text: bytes) -> tuple:
@@ -180,12 +181,12 @@ def text_media(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 25):
+            for part in slices(batch, "text", 1 << 22):
                 made = [row((x.as_buffer().to_pybytes() if x.is_valid else b"")) for x in part.column("text").cast(pa.binary())]
                 cols = zip(*made, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x) for x in cols)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(work), schema)
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ _LOWER += np.uint64(1)
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True
 _powers: list[np.ndarray] = []
+#: So many powers are kept.
+_KEPT = (1 << 18) + 1
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -29,14 +31,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base, and of its inverse."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        made = []
+
+    def made(size: int) -> list[np.ndarray]:
+        out = []
         for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             x = np.full(size, b, np.uint64)
             x[0] = 1
-            made.append(np.cumprod(x, dtype=np.uint64))
-        _powers[:] = made
+            out.append(np.cumprod(x, out=x))
+        return out
+
+    if n > _KEPT:
+        return tuple(made(n))
+    if not _powers:
+        _powers[:] = made(_KEPT)
     return _powers[0][:n], _powers[1][:n]
 
 

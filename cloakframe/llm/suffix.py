@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cloakframe.llm.common import slices, table, text_batches, utf8_views, written
+from cloakframe.llm.common import lean, slices, table, text_batches, utf8_views, written
 from cloakframe.llm.induced import repeated
 from cloakframe.llm.shingles import mix, powers
 
@@ -34,7 +34,7 @@ LENGTH = 400
 HOT, CELL = 256, 32
 #: Cells of one key that are looked at together; those of a key with more are taken apart.
 TOGETHER = 512
-PART = 1 << 21
+PART = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 #: Starts of a text that are looked at together; a longer text gives regions that end there.
 STRETCH = 1 << 23
@@ -120,7 +120,7 @@ def found_regions(docs: DataFrame, length: int) -> DataFrame:
                     names=["doc_id", "t", "len", "start", "n", "h", "k", "g1", "g2"],
                 )
 
-    return docs.select("doc_id", "text", *text_key()).mapInArrow(work, "doc_id long, t long, len int, start int, n int, h long, k int, g1 long, g2 long")
+    return docs.select("doc_id", "text", *text_key()).mapInArrow(lean(work), "doc_id long, t long, len int, start int, n int, h long, k int, g1 long, g2 long")
 
 
 def region_bytes(docs: DataFrame, groups: DataFrame, length: int) -> DataFrame:
@@ -133,7 +133,7 @@ def region_bytes(docs: DataFrame, groups: DataFrame, length: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("n", "h", "g1", "g2", "m", "hot")
         for batch in batches:
-            for part in slices(batch, "text", 1 << 23):
+            for part in slices(batch, "text", 1 << 21):
                 raw, off = utf8_views(part.column("text"))
                 view, lists = memoryview(np.ascontiguousarray(raw)), part.column("list")
                 items = lists.flatten()
@@ -143,7 +143,7 @@ def region_bytes(docs: DataFrame, groups: DataFrame, length: int) -> DataFrame:
                 data = [bytes(view[a : a + k]) for a, k in zip(start.tolist(), size.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(items.field(c) for c in names), pa.array(data, pa.binary())], names=[*names, "data"])
 
-    return both.mapInArrow(work, "n int, h long, g1 long, g2 long, m long, hot boolean, data binary")
+    return both.mapInArrow(lean(work), "n int, h long, g1 long, g2 long, m long, hot boolean, data binary")
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,17 +255,21 @@ def _few_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([*(rows.column(c).take(take).combine_chunks() for c in CELL_KEY), pa.array((a - gap[which] - 1).astype(np.int32)), pa.array((b - gap[which] - 1).astype(np.int32))], names=[*CELL_KEY, "a", "b"])
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from lean(_few_cells)(batches)
+
+
 def hot_runs(data: DataFrame, length: int, parts: int) -> DataFrame:
     """g1, g2, runs (of repeated starts) of the regions of hot anchors. A cell that is the only one of its key repeats whole if it occurs twice;
     the strings of different cells of one key are compared."""
-    cells = written(data.mapInArrow(_hot_cells(length), f"{_KEYS}, g1 long, g2 long, m long, first int, last int, strings binary"), "cells")
+    cells = written(data.mapInArrow(lean(_hot_cells(length)), f"{_KEYS}, g1 long, g2 long, m long, first int, last int, strings binary"), "cells")
     distinct = cells.groupBy(*CELL_KEY).agg(F.sum("m").alias("m"), F.min("strings").alias("strings"))
     keys = cells.groupBy(*CELL_KEY).agg(F.sum("m").alias("m")).groupBy("k1", "k2").agg(F.sum("m").alias("all"), F.count("*").alias("n")).where("all > 1")
     known = written(distinct.join(keys, ["k1", "k2"]), "known")
     same = known.where("n = 1").select(*CELL_KEY, F.lit(0).alias("a"), (F.octet_length("strings") / 16).cast("int").alias("b"))
     some = known.where(F.col("n").between(2, TOGETHER)).select(F.pmod(F.xxhash64("k1", "k2"), F.lit(parts)).cast("int").alias("part"), *CELL_KEY, "m", "strings")
-    few = some.groupBy("part").applyInArrow(_few_cells, f"{_KEYS}, a int, b int")
-    strings = known.where(F.col("n") > TOGETHER).select(*CELL_KEY, "m", "strings").mapInArrow(_each_string, f"w1 long, w2 long, a int, {_KEYS}, m long")
+    few = some.groupBy("part").applyInArrow(_few, f"{_KEYS}, a int, b int")
+    strings = known.where(F.col("n") > TOGETHER).select(*CELL_KEY, "m", "strings").mapInArrow(lean(_each_string), f"w1 long, w2 long, a int, {_KEYS}, m long")
     again = strings.groupBy("w1", "w2").agg(F.sum("m").alias("k")).where("k > 1").select("w1", "w2")
     single = strings.join(again, ["w1", "w2"], "left_semi").select(*CELL_KEY, "a", (F.col("a") + 1).alias("b"))
     # written, so that the join below can split a cell that very many regions have
@@ -290,9 +294,9 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, budget: int = BUDGET)
     sort = _sorted_shard(length, budget)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from sort(batches)
+        yield from lean(sort)(batches)
 
-    cool = data.where("NOT hot").select(F.pmod(F.xxhash64("h"), F.lit(4 * tasks)).cast("int").alias("shard"), "g1", "g2", "m", "data")
+    cool = data.where("NOT hot").select(F.pmod(F.xxhash64("h"), F.lit(8 * tasks)).cast("int").alias("shard"), "g1", "g2", "m", "data")
     by_sorting = cool.groupBy("shard").applyInArrow(grouped, "g1 long, g2 long, first int, last int").select("g1", "g2", F.array(F.struct("first", "last")).alias("runs"))
     by_string = hot_runs(data.where("hot").select("g1", "g2", "m", "data"), length, 4 * tasks)
     runs = written(by_sorting.unionAll(by_string), "runs")
@@ -326,7 +330,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 24):
+            for part in slices(batch, "text", 1 << 22):
                 raw, off = utf8_views(part.column("text"))
                 covers = part.column("covers")
                 rows = []
@@ -345,7 +349,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names=[*others, *names])
 
-    return both.mapInArrow(work, schema)
+    return both.mapInArrow(lean(work), schema)
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
