@@ -48,7 +48,7 @@ def inverse_demand(share: Column, knots) -> Column:
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """source, source_size, kind (index into weights), target. sizes: source, source_size, one row a source.
+    """sizes (source, source_size, and any others, one row a source) with kind (index into weights) and target.
 
     Reshare until none is above its limit, in one pass: by limit per weight, ascending, the level at which the rest of the total fills
     the rest of the weights; the first level that is not above its own source's limit per weight holds for all after it."""
@@ -60,7 +60,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     total = F.sum("source_size").over(all_) * F.lit(float(share))
     level = (total - F.coalesce(F.sum("__cap").over(ahead), F.lit(0.0))) / F.sum("__w").over(after)
     leveled = kinds.withColumn("__level", level).withColumn("__level", F.min(F.when(F.col("__level") <= F.col("__r"), F.struct("__r", F.col("source").isNull(), "source", "__level"))).over(all_)["__level"])
-    return leveled.select("source", "source_size", "kind", F.coalesce(F.least("__cap", F.col("__w") * F.col("__level")), F.col("__cap")).alias("target"))
+    return leveled.select(*sizes.columns, "kind", F.coalesce(F.least("__cap", F.col("__w") * F.col("__level")), F.col("__cap")).alias("target"))
 
 
 def mixed(rows: DataFrame, weights=WEIGHTS, shapes=SHAPES, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -68,17 +68,16 @@ def mixed(rows: DataFrame, weights=WEIGHTS, shapes=SHAPES, share: float = SHARE,
     positions, one for each time it is taken. Clashing columns are replaced."""
     rows = rows.drop("source_size", "target", "taken", "position", "positions")
     key = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string")).cast("binary"))
-    rows = rows.withColumn("__order", key).withColumn("__block", F.substring("__order", 1, 3))
-    names = [c for c in rows.columns if c not in ("source", "__block")]
-    blocks = rows.groupBy("source", "__block").agg(F.sum("size").alias("__block_size"))
-    goals = targets(blocks.groupBy("source").agg(F.sum("__block_size").alias("source_size")), weights, share, most)
-    ahead = Window.partitionBy("source").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.withColumn("__ahead", F.coalesce(F.sum("__block_size").over(ahead), F.lit(0)))
-    g, b = goals.alias("g"), starts.alias("b")
-    each = b.join(g, F.col("b.source").eqNullSafe(F.col("g.source"))).select(F.col("b.source").alias("__s"), F.col("b.__block").alias("__b"), "__ahead", "source_size", "kind", "target")
-    inside = Window.partitionBy("source", "__block").orderBy("__order", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("__before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    joined = placed.join(each, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
+    # the source as a key that is never null: the join with the blocks and the window over them share one shuffle
+    rows = rows.withColumns({"__order": key, "__source": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))}).withColumn("__block", F.substring("__order", 1, 3))
+    names = [c for c in rows.columns if c not in ("source", "__block", "__source", "__order")]
+    blocks = rows.groupBy("source", "__source", "__block").agg(F.sum("size").alias("__block_size"))
+    goals = targets(blocks.groupBy("source", "__source").agg(F.sum("__block_size").alias("source_size")), weights, share, most)
+    ahead = Window.partitionBy("__source").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.drop("source").withColumn("__ahead", F.coalesce(F.sum("__block_size").over(ahead), F.lit(0)))
+    each = starts.join(goals.drop("source"), "__source").select("__source", "__block", "__ahead", "source_size", "kind", "target")
+    inside = Window.partitionBy("__source", "__block").orderBy("__order", "size").rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(each, ["__source", "__block"]).withColumn("__before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     middle = F.col("__ahead") + F.col("__before") + F.col("size") / 2
     turns = int(-(-most // 1))
     passes = reduce(lambda a, c: a + c, [(middle + F.lit(float(k)) * F.col("source_size") <= F.col("target")).cast("long") for k in range(turns)])
@@ -87,7 +86,7 @@ def mixed(rows: DataFrame, weights=WEIGHTS, shapes=SHAPES, share: float = SHARE,
         return F.round(reduce(lambda rest, i: F.when(F.col("kind") == i, inverse_demand(done, shapes[i])).otherwise(rest), range(len(weights)), F.lit(None).cast("double")), 6)
 
     out = joined.withColumn("__passes", F.when(F.col("size") > 0, passes).otherwise(0)).withColumn("positions", F.slice(F.array(*[time(k) for k in range(turns)]), F.lit(1), F.col("__passes").cast("int")))
-    return out.select(*[n for n in names if n != "__order"], "source", "source_size", "target", (F.col("__passes") * F.col("size")).cast("long").alias("taken"), F.get("positions", F.lit(0)).alias("position"), "positions")
+    return out.select(*names, "source", "source_size", "target", (F.col("__passes") * F.col("size")).cast("long").alias("taken"), F.get("positions", F.lit(0)).alias("position"), "positions")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
