@@ -46,7 +46,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once all that is made of them is written itself."""
+    for t in tables:
+        drop_folder(t.sparkSession, t.written_at)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cloakframe.llm.common import lean, slices, table, text_batches, utf8_views, written
+from cloakframe.llm.common import forget, lean, slices, table, text_batches, utf8_views, written
 from cloakframe.llm.components import components
 from cloakframe.llm.shingles import mix, shingle_hashes, shingle_sets
 
@@ -158,8 +158,8 @@ def whole_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
 
 def probed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Of candidate pairs (x, y of classes), those that are linked, as u and v."""
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct().join(classes.select("c", "id"), "c")
-    sets = written(whole_sets(docs, written(ids, "needed"), words), "sets")
+    ids = written(pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct().join(classes.select("c", "id"), "c"), "needed")
+    sets = written(whole_sets(docs, ids, words), "sets")
     both = pairs.join(sets.select(F.col("c").alias("x"), F.col("whole").alias("wx")), "x").join(sets.select(F.col("c").alias("y"), F.col("whole").alias("wy")), "y")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,9 @@ def probed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, pe
                 keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("x", "y", "wx", "wy").mapInArrow(lean(work), "u long, v long")
+    out = written(both.select("x", "y", "wx", "wy").mapInArrow(lean(work), "u long, v long"), "links")
+    forget(ids, sets)
+    return out
 
 
 def banded_pairs(classes: DataFrame) -> DataFrame:
@@ -183,6 +185,20 @@ def banded_pairs(classes: DataFrame) -> DataFrame:
     return rows.join(stars, "band").where("c <> y").select(F.col("c").alias("x"), "y").distinct()
 
 
+def _packed(rows: np.ndarray) -> bytes:
+    """Postings field by field: most classes are their own label, and shuffles compress what repeats."""
+    return b"".join(np.ascontiguousarray(rows[f]).tobytes() for f in rows.dtype.names)
+
+
+def _unpacked(data: pa.Buffer, kind: np.dtype) -> np.ndarray:
+    n, at = data.size // kind.itemsize, 0
+    rows = np.empty(n, kind)
+    for f in kind.names:
+        rows[f] = np.frombuffer(data, kind[f], n, at)
+        at += n * kind[f].itemsize
+    return rows
+
+
 def _deal(parts: int):
     """Postings of a task as one record array for each part of the shingles (and another for those with a level)."""
 
@@ -196,7 +212,7 @@ def _deal(parts: int):
         rows, part = rows[order], part[order]
         at = np.flatnonzero(np.diff(part, prepend=-1))
         ends = np.append(at[1:], len(rows))
-        yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array([rows[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()), pa.array([heavy] * len(at))], names=["part", "rows", "heavy"])
+        yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array([_packed(rows[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary()), pa.array([heavy] * len(at))], names=["part", "rows", "heavy"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
@@ -277,7 +293,7 @@ def _meetings(percent: int):
         held: dict[bool, list[np.ndarray]] = {False: [], True: []}
         for b in batches:
             for x, heavy in zip(b.column("rows"), b.column("heavy").to_pylist(), strict=True):
-                held[heavy].append(np.frombuffer(x.as_buffer(), HEAVY if heavy else POSTING))
+                held[heavy].append(_unpacked(x.as_buffer(), HEAVY if heavy else POSTING))
         for rows in held.values():
             if rows:
                 yield from _merged(np.concatenate(rows), percent)
@@ -344,13 +360,18 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     base = written(sketched(docs, words, percent, shingle_levels(docs, words)), "sketches")
-    ids = base.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("id"))
-    full = base.where("c IS NOT NULL").alias("f").join(ids.alias("i"), F.col("f.c").eqNullSafe(F.col("i.c")) & F.col("f.doc_id").eqNullSafe(F.col("i.id"))).select("f.c", "i.id", "f.n", "f.bands", "f.short", "f.light", "f.parity")
-    near = written(banded_pairs(full), "pairs")
-    first = written(probed(near, docs, ids, words, percent), "first")
-    met = met_pairs(labelled(full.select("c", "n", "short", "light", "parity"), first), percent)
-    candidates = written(sieved(met, full.select("c", "n", "parity"), percent), "pairs")
-    second = written(probed(candidates, docs, ids, words, percent), "second")
+    ids = written(base.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("id")), "classes")
+
+    def full(classes: DataFrame, *columns: str) -> DataFrame:
+        """classes (c, id) with columns of one of their documents."""
+        same = F.col("f.c").eqNullSafe(F.col("i.c")) & F.col("f.doc_id").eqNullSafe(F.col("i.id"))
+        return base.select("doc_id", "c", *columns).alias("f").join(classes.alias("i"), same).select("i.*", *[f"f.{c}" for c in columns])
+
+    near = written(banded_pairs(full(ids, "bands")), "pairs")
+    first = probed(near, docs, ids, words, percent)
+    met = met_pairs(full(labelled(ids, first), "n", "short", "light", "parity"), percent)
+    candidates = written(sieved(met, full(ids, "n", "parity"), percent), "pairs")
+    second = probed(candidates, docs, ids, words, percent)
     groups = labelled(ids, first.unionAll(second))
     smallest = groups.groupBy("label").agg(F.min("id").alias("component_id"))
     of = groups.join(smallest, "label").select(F.col("c").alias("__c"), "component_id", F.col("id").alias("class_id"))
