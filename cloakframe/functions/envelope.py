@@ -1,7 +1,7 @@
 """Stored forms as Spark expressions: envelopes, blind indexes, tokens.
 
-Keys are columns (of a broadcast key relation), never literals, so that no plan shows one. Nonces come from the JVM's
-secure random generator for each value; Spark's own default initialisation vector is never used, because an optimizer may compute it once.
+Keys are columns (of a broadcast key relation), never literals, so that no plan shows one. Spark's own default initialisation
+vector is never used, because an optimizer may compute it once.
 """
 
 from __future__ import annotations
@@ -43,11 +43,20 @@ def row_aad_bytes(key_id: bytes, context: str, row: bytes) -> bytes:
 
 
 def nonce() -> Column:
-    """96 bits from two secure random UUIDs, without the digits that tell version and variant."""
+    """96 bits from two secure random UUIDs, without the digits that tell version and variant; all threads of a JVM wait for one generator."""
     part = "replace(substring(reflect('java.util.UUID', 'randomUUID'), 1, 13), '-', '')"
     return F.expr(f"unhex(concat({part}, {part}))")
 
 
+def derived_nonce(secret: Column, plain: Column, row: Column | None = None) -> Column:
+    """96 bits of SHA-256 over a secret of the job, a fresh UUID, the row key and the plain value.
+
+    The secret (32 random bytes that leave the driver as a key does) makes it unpredictable and the UUID fresh. Should a task that runs
+    again repeat its UUIDs, two values get one nonce only if they are equal and of one row, so no nonce ever serves two messages."""
+    parts = [secret, F.expr("uuid()").cast("binary"), *([] if row is None else [u32(F.octet_length(row)), row]), plain]
+    return F.substring(F.unhex(F.sha2(F.concat(*parts), 256)), 1, NONCE)
+
+
 def is_enveloped(value: Column) -> Column:
     return (F.octet_length(value) > HEADER) & F.substring(value, 1, MAGIC).isin(*[bytearray(m) for m in (LEGACY, CELL, ROW)])
 

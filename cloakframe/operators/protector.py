@@ -8,12 +8,13 @@ broadcast joins with key relations of as many rows as there are keys.
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cloakframe import errors as E
 from cloakframe.functions import envelope as env, fpe
-from cloakframe.functions.ident import lookup_name, qualified
+from cloakframe.functions.ident import lookup_name
 from cloakframe.functions.mask import mask_binary, mask_text
 from cloakframe.functions.rowkey import kind_of, row_key
 from cloakframe.operators.policy import ColumnPolicy, Policy
@@ -79,7 +80,7 @@ class Protector:
             if c.searchable or c.transform == "token":
                 values |= padded(_slot(c.name), self.keys.index_key(c.name))
         if sealing is not None:
-            values |= {"__seal_id": sealing, "__seal_key": self.keys.key(sealing)}
+            values |= {"__seal_id": sealing, "__seal_key": self.keys.key(sealing), "__seal_nonce": secrets.token_bytes(32)}
         return df.join(F.broadcast(secret_row(self.spark, values))) if values else df
 
     def seal_df(self, df: DataFrame, table: str, with_index: bool = True, count: int | None = None, nonces: dict[str, Column] | None = None) -> DataFrame:
@@ -112,7 +113,7 @@ class Protector:
             tag = {"protect": c.name}
             plain = _quoted(name).cast("binary")
             if c.transform == "encrypt":
-                at = (nonces or {}).get(name)
+                at = (nonces or {}).get(name, env.derived_nonce(F.col("__seal_nonce"), plain, row))
                 sealed = env.seal(plain, F.col("__seal_id"), F.col("__seal_key"), c.name, row, at)
                 if c.searchable:
                     index = env.blind_index(plain, F.col(f"__in_{_slot(c.name)}"), F.col(f"__out_{_slot(c.name)}"))
@@ -260,6 +261,3 @@ class Protector:
         if any(c.transform == "token" for c in back.values()):
             raise E.NotReadable(f"{table}: tokens can't be sealed again")
         return self.seal_df(opened, table)
-
-    def context(self, table: str, column: str) -> str:
-        return qualified(table, column)
