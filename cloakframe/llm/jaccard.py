@@ -38,7 +38,7 @@ BANDS, ROWS = 8, 3
 #: Bits of a set's parity, and lists over which a class's partners are dealt.
 PARITY, SPLIT = 1024, 16
 PART = 1 << 18
-POSTING = np.dtype([("h", "<u8"), ("c", "<i8"), ("label", "<i8"), ("n", "<i4")])
+POSTING = np.dtype([("h", "<u8"), ("c", "<i8"), ("label", "<i8"), ("n", "<i4"), ("place", "<u4")])
 #: In lists of shingles that have a level, postings carry a folded parity, so that long lists are sieved where they are merged.
 HEAVY = np.dtype([*POSTING.descr, ("parity", "V64")])
 _ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -224,6 +224,7 @@ def _deal(parts: int):
                     if len(own):
                         rows = np.empty(len(own), HEAVY if heavy else POSTING)
                         rows["h"], rows["c"], rows["label"], rows["n"] = own, c, label, n
+                        rows["place"] = np.arange(len(own)) + light * heavy
                         if heavy:
                             half = np.frombuffer(parity, np.uint64)
                             rows["parity"] = np.frombuffer((half[: len(half) // 2] ^ half[len(half) // 2 :]).tobytes(), "V64")[0]
@@ -240,7 +241,8 @@ def _deal(parts: int):
 
 
 def _merged(rows: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs that meet in some lists, with how often: across labels only, of sizes that fit and, where postings have one, of parities that fit."""
+    """Pairs that meet in some lists that are short for both, with how often: across labels only, of sizes that fit and, where postings
+    have one, of parities that fit."""
     if not len(rows):
         return
     rows = rows[np.argsort(rows["h"], kind="stable")]
@@ -253,7 +255,7 @@ def _merged(rows: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     ids, one, c = np.unique(rows["c"], return_index=True, return_inverse=True)
     size = rows["n"][one].astype(np.int64)
     parity = np.frombuffer(np.ascontiguousarray(rows["parity"][one]).tobytes(), np.uint64).reshape(-1, 8) if "parity" in rows.dtype.names else None
-    label, left = rows["label"], np.repeat(count, count) - (np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count))
+    label, place, left = rows["label"], rows["place"].astype(np.int64), np.repeat(count, count) - (np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count))
     held: list[np.ndarray] = []
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -271,7 +273,8 @@ def _merged(rows: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
             p = at[i : i + (1 << 18)]
             a, b = c[p], c[p + step]
             na, nb = size[a], size[b]
-            ok = (label[p] != label[p + step]) & (a != b) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+            long = least_overlap(na, nb, percent) - np.minimum(extra(na), extra(nb))  # lists of the pair that are never merged
+            ok = (label[p] != label[p + step]) & (a != b) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (place[p] < na - long) & (place[p + step] < nb - long)
             a, b = a[ok], b[ok]
             if parity is not None and len(a):
                 apart = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
@@ -316,11 +319,10 @@ def met_pairs(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def needed_meetings(nx: str, ny: str, percent: int) -> Column:
-    """In how many short lists a pair must meet. Of the two sets, take the one whose short lists end first in the order: what it
-    shares of them is in the other's short lists, too, so the overlap is at most the meetings plus its long lists."""
+    """In how many lists that are short for both a pair must meet: l, as each has T - l long ones, or T if that is less."""
     total = F.ceil(F.lit(percent) * (F.col(nx) + F.col(ny)) / F.lit(100 + percent))
-    long = lambda n: F.greatest(F.lit(0), F.ceil(F.lit(percent) * F.col(n) / 100) - 1 - F.floor(F.col(n) / 32))
-    return total - F.greatest(long(nx), long(ny))
+    least = lambda n: F.lit(1) + F.floor(F.col(n) / 32)  # noqa: E731  extra()
+    return F.least(least(nx), least(ny), total)
 
 
 def sieved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
