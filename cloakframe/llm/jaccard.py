@@ -39,8 +39,8 @@ BANDS, ROWS = 8, 3
 PARITY, SPLIT = 1024, 16
 PART = 1 << 18
 POSTING = np.dtype([("h", "<u8"), ("c", "<i8"), ("label", "<i8"), ("n", "<i4"), ("place", "<u4")])
-#: In lists of shingles that have a level, postings carry a folded parity, so that long lists are sieved where they are merged.
-HEAVY = np.dtype([*POSTING.descr, ("parity", "V64")])
+#: In lists of shingles that have a level, postings carry the parity, so that long lists are sieved where they are merged.
+HEAVY = np.dtype([*POSTING.descr, ("parity", f"V{PARITY // 8}")])
 _ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -226,10 +226,9 @@ def _deal(parts: int):
                         rows["h"], rows["c"], rows["label"], rows["n"] = own, c, label, n
                         rows["place"] = np.arange(len(own)) + light * heavy
                         if heavy:
-                            half = np.frombuffer(parity, np.uint64)
-                            rows["parity"] = np.frombuffer((half[: len(half) // 2] ^ half[len(half) // 2 :]).tobytes(), "V64")[0]
+                            rows["parity"] = np.frombuffer(parity, HEAVY["parity"])[0]
                         held[heavy].append(rows)
-                        size += len(own) * (1 + 2 * heavy)
+                        size += len(own) * (1 + 4 * heavy)
                 if size >= 1 << 19:
                     for heavy in (0, 1):
                         yield from dealt(held[heavy], bool(heavy))
@@ -254,7 +253,7 @@ def _merged(rows: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
         return
     ids, one, c = np.unique(rows["c"], return_index=True, return_inverse=True)
     size = rows["n"][one].astype(np.int64)
-    parity = np.frombuffer(np.ascontiguousarray(rows["parity"][one]).tobytes(), np.uint64).reshape(-1, 8) if "parity" in rows.dtype.names else None
+    parity = np.frombuffer(np.ascontiguousarray(rows["parity"][one]).tobytes(), np.uint64).reshape(-1, PARITY // 64) if "parity" in rows.dtype.names else None
     label, place, left = rows["label"], rows["place"].astype(np.int64), np.repeat(count, count) - (np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count))
     held: list[np.ndarray] = []
 
