@@ -52,9 +52,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Deletes tables that written() made, once all that is made of them is written itself."""
+    """Deletes tables that written() made, once all that is made of them is written itself, and has Spark drop the shuffles behind them (it
+    does so when the driver collects its garbage)."""
     for t in tables:
         drop_folder(t.sparkSession, t.written_at)
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

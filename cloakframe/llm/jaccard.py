@@ -9,8 +9,8 @@ Two sets with Jaccard similarity of t or more share at least T = t / (1 + t) * (
 
 The order decides only how much work there is, never the result. Texts with equal sets are one class, so copies don't meet in lists.
 A first round links classes that agree in a band of minimum hashes to one class of each band, as far as the exact overlap
-confirms it; lists give pairs between different components of those links only, and bitmaps of parities sieve them before whole sets
-are fetched, so a large group of near copies does not give all its pairs. The result is whole: every pair of classes in different components that can reach t is probed.
+confirms it, and a second one each class with its nearest one in each long list, by bitmaps of parities. Lists give pairs between different
+components of those links only, and the bitmaps sieve them before whole sets are fetched, so a large group of near copies does not give all its pairs. The result is whole: every pair of classes in different components that can reach t is probed.
 
 Defined results: null texts and texts without words have empty sets, link with nothing and are components of their own; rows that repeat
 or share a doc_id keep one row each; null doc_ids are never a component's smallest unless all are null.
@@ -199,7 +199,7 @@ def _unpacked(data: pa.Buffer, kind: np.dtype) -> np.ndarray:
     return rows
 
 
-def _deal(parts: int):
+def _deal(parts: int, heavy_only: bool = False):
     """Postings of a task as one record array for each part of the shingles (and another for those with a level)."""
 
     def dealt(held: list[np.ndarray], heavy: bool) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def _deal(parts: int):
             for c, label, n, short, light, parity in zip(*(batch.column(k).to_pylist() for k in ("c", "label", "n", "short", "light", "parity")), strict=True):
                 h = np.frombuffer(short, np.uint64)
                 for heavy, own in ((0, h[:light]), (1, h[light:])):
-                    if len(own):
+                    if len(own) and heavy >= heavy_only:
                         rows = np.empty(len(own), HEAVY if heavy else POSTING)
                         rows["h"], rows["c"], rows["label"], rows["n"] = own, c, label, n
                         rows["place"] = np.arange(len(own)) + light * heavy
@@ -239,9 +239,9 @@ def _deal(parts: int):
     return work
 
 
-def _merged(rows: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+def _merged(rows: np.ndarray, percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs that meet in some lists that are short for both, with how often: across labels only, of sizes that fit and, where postings
-    have one, of parities that fit."""
+    have one, of parities that fit. nearest: of each posting only the pair whose parities are apart least."""
     if not len(rows):
         return
     rows = rows[np.argsort(rows["h"], kind="stable")]
@@ -256,6 +256,7 @@ def _merged(rows: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     parity = np.frombuffer(np.ascontiguousarray(rows["parity"][one]).tobytes(), np.uint64).reshape(-1, PARITY // 64) if "parity" in rows.dtype.names else None
     label, place, left = rows["label"], rows["place"].astype(np.int64), np.repeat(count, count) - (np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count))
     held: list[np.ndarray] = []
+    close, partner = np.full(len(rows), 1 << 30), np.zeros(len(rows), np.uint64)
 
     def out() -> Iterator[pa.RecordBatch]:
         if held:
@@ -275,20 +276,29 @@ def _merged(rows: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
             long = least_overlap(na, nb, percent) - np.minimum(extra(na), extra(nb))  # lists of the pair that are never merged
             ok = (label[p] != label[p + step]) & (a != b) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (place[p] < na - long) & (place[p + step] < nb - long)
             a, b = a[ok], b[ok]
-            if parity is not None and len(a):
+            if parity is not None:
                 apart = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
-                ok = apart <= size[a] + size[b] - 2 * least_overlap(size[a], size[b], percent)
-                a, b = a[ok], b[ok]
-            held.append((np.minimum(a, b).astype(np.uint64) << np.uint64(32)) | np.maximum(a, b).astype(np.uint64))
+                fits = apart <= size[a] + size[b] - 2 * least_overlap(size[a], size[b], percent)
+                a, b = a[fits], b[fits]
+            pair = (np.minimum(a, b).astype(np.uint64) << np.uint64(32)) | np.maximum(a, b).astype(np.uint64)
+            if nearest:
+                apart = apart[fits]
+                for q in (p[ok][fits], p[ok][fits] + step):  # within a step each posting has one partner on either side
+                    better = apart < close[q]
+                    close[q[better]], partner[q[better]] = apart[better], pair[better]
+                continue
+            held.append(pair)
             total += len(a)
             if total >= 1 << 20:
                 yield from out()
                 total = 0
         step += 1
+    if nearest:
+        held.append(partner[close < 1 << 30])
     yield from out()
 
 
-def _meetings(percent: int):
+def _meetings(percent: int, nearest: bool = False):
     """The lists of one part, merged."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,22 +308,25 @@ def _meetings(percent: int):
                 held[heavy].append(_unpacked(x.as_buffer(), HEAVY if heavy else POSTING))
         for rows in held.values():
             if rows:
-                yield from _merged(np.concatenate(rows), percent)
+                yield from _merged(np.concatenate(rows), percent, nearest)
 
     return work
 
 
-def met_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (x, y): classes (c, label, n, short, light, parity) of different labels that meet in enough short lists."""
+def met_pairs(classes: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
+    """Candidate pairs (x, y): classes (c, label, n, short, light, parity) of different labels that meet in enough short lists. nearest: only each
+    class's nearest one in each list of a shingle that has a level."""
     spark = classes.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = classes.select("c", "label", "n", "short", "light", "parity").mapInArrow(lean(_deal(2 * tasks)), "part int, rows binary, heavy boolean")
-    meet = _meetings(percent)
+    dealt = classes.select("c", "label", "n", "short", "light", "parity").mapInArrow(lean(_deal(2 * tasks, nearest)), "part int, rows binary, heavy boolean")
+    meet = _meetings(percent, nearest)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from lean(meet)(batches)
 
     met = dealt.groupBy("part").applyInArrow(grouped, "x long, y long, nx long, ny long, k long")
+    if nearest:
+        return met.select("x", "y").distinct()
     return met.groupBy("x", "y", "nx", "ny").agg(F.sum("k").alias("k")).where(F.col("k") >= needed_meetings("nx", "ny", percent)).select("x", "y", "k")
 
 
@@ -369,11 +382,13 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         return base.select("doc_id", "c", *columns).alias("f").join(classes.alias("i"), same).select("i.*", *[f"f.{c}" for c in columns])
 
     near = written(banded_pairs(full(ids, "bands")), "pairs")
-    first = probed(near, docs, ids, words, percent)
-    met = met_pairs(full(labelled(ids, first), "n", "short", "light", "parity"), percent)
+    links = probed(near, docs, ids, words, percent)
+    nearest = written(met_pairs(full(labelled(ids, links), "n", "short", "light", "parity"), percent, nearest=True), "pairs")
+    links = links.unionAll(probed(nearest, docs, ids, words, percent))
+    met = met_pairs(full(labelled(ids, links), "n", "short", "light", "parity"), percent)
     candidates = written(sieved(met, full(ids, "n", "parity"), percent), "pairs")
-    second = probed(candidates, docs, ids, words, percent)
-    groups = labelled(ids, first.unionAll(second))
+    links = links.unionAll(probed(candidates, docs, ids, words, percent))
+    groups = labelled(ids, links)
     smallest = groups.groupBy("label").agg(F.min("id").alias("component_id"))
     of = groups.join(smallest, "label").select(F.col("c").alias("__c"), "component_id", F.col("id").alias("class_id"))
     out = base.select("doc_id", "n", "c").join(of, F.col("c") == F.col("__c"), "left")
