@@ -60,13 +60,12 @@ def short_lists(n: int, percent: int) -> int:
 
 def _bits(df: DataFrame, slot: str) -> np.ndarray:
     """A bitmap of the slots in df: 2^21 flags, by native aggregates; 64 rows of 4 KB come to the driver."""
-    rows = df.groupBy(F.bitmap_bucket_number(F.col(slot)).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(slot))).alias("bits")).collect()
+    one = F.col(slot) + 1  # the first bucket has number 1 and holds the values from 1 on; 0 has a bucket of its own
+    rows = df.groupBy(F.bitmap_bucket_number(one).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits")).collect()
     out = np.zeros(1 << SLOT_BITS, bool)
     for r in rows:
         part = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
-        first = (r["k"] - 1) * BUCKET  # the first bucket has number 1 and holds the values from 1 on
-        at = first + 1 + np.flatnonzero(part)
-        out[at[at < len(out)]] = True
+        out[(r["k"] - 1) * BUCKET + np.flatnonzero(part)] = True
     return out
 
 

@@ -88,6 +88,18 @@ def test_joined_tables(spark):
     assert jaccard.joined(docs.limit(0)).count() == 0
 
 
+def test_documents_of_every_slot(spark):
+    """Slots 0 and 1, both sides of a bucket's end, and the last one; the id of a class that hashes to slot 0."""
+    slots = [0, 1, 32767, 32768, 32769, (1 << 21) - 1]
+    assert np.flatnonzero(jaccard._bits(spark.createDataFrame([(x,) for x in slots], "slot long"), "slot")).tolist() == slots
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1314495, " ".join(base)), (1314500, " ".join([*base[:-1], "other"])), (1314501, "far from both of them")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << jaccard.SLOT_BITS)) == 0).count() == 1
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.joined(df, 4, 85).collect())
+    assert got == brute_components(rows, 4, 85)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)] + [(5, 5), (200, 200)]
