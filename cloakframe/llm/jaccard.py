@@ -138,8 +138,8 @@ def sketched(docs: DataFrame, words: int, percent: int, level: np.ndarray) -> Da
 
 
 def whole_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """c and whole (its sorted hashes) of the classes in needed (c, id: one of its documents). Other documents are left out by a bitmap of ids
-    before their sets are computed, and by the join after."""
+    """c and whole (its sorted hashes) of the classes in needed (c, id: one of its documents), one row each. Other documents are left out by a
+    bitmap of ids before their sets are computed, and by the join after; copies that pass the bitmap leave one set before that join."""
     slot = F.pmod(F.xxhash64("id"), F.lit(1 << SLOT_BITS))
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_bits(needed.select(slot.alias("slot")), "slot"), bitorder="little"))
 
@@ -152,7 +152,7 @@ def whole_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["c", "whole"])
 
     some = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << SLOT_BITS)).alias("slot")).mapInArrow(lean(work), "c long, whole binary")
-    return some.join(needed.select("c"), "c", "left_semi")
+    return some.groupBy("c").agg(F.first("whole").alias("whole")).join(needed.select("c"), "c", "left_semi")
 
 
 def probed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:

@@ -100,6 +100,17 @@ def test_documents_of_every_slot(spark):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_copies_leave_one_set(spark):
+    """Copies that pass the bitmap: rows of one doc_id, and another document of the needed class that is needed for nothing."""
+    a, b = "one two three four five six", "six five four three two one"
+    rows = [(7, a)] * 5 + [(8, b), (9, a), (9, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    base = jaccard.sketched(docs, 4, 85, np.zeros(1 << jaccard.SLOT_BITS, np.uint8))
+    needed = base.groupBy("c").agg(F.min("doc_id").alias("id"))
+    got = [(r["c"], len(r["whole"]) // 8) for r in jaccard.whole_sets(docs, needed, 4).collect()]
+    assert sorted(got) == sorted((r["c"], 3) for r in needed.collect())
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)] + [(5, 5), (200, 200)]
