@@ -47,19 +47,25 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word, and how many words each text has."""
-    n = len(raw)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(off) - 1, np.int64)
+def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte of each word of all texts, and the one after its last."""
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     white = _WHITE[raw]
-    before, after = np.empty(n, bool), np.empty(n, bool)
+    before, after = np.empty(len(raw), bool), np.empty(len(raw), bool)
     before[1:], after[:-1] = white[:-1], white[1:]
     full = off[:-1][off[:-1] < off[1:]]
     before[full] = True
     after[off[1:][off[:-1] < off[1:]] - 1] = True
-    start = np.flatnonzero(~white & before)
-    end = np.flatnonzero(~white & after) + 1
+    return np.flatnonzero(~white & before), np.flatnonzero(~white & after) + 1
+
+
+def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and how many words each text has."""
+    n = len(raw)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(off) - 1, np.int64)
+    start, end = word_bounds(raw, off)
     power, inverse = powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_LOWER[raw] * power, out=total[1:])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cloakframe.llm.common import lean, slices, table, text_batches, utf8_views, written
 from cloakframe.llm.induced import repeated
-from cloakframe.llm.shingles import mix, powers
+from cloakframe.llm.shingles import mix, powers, word_bounds
 
 LENGTH = 400
 #: An anchor with more distinct regions than this is dealt by string.
@@ -307,6 +307,33 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, budget: int = BUDGET)
     return places.join(packed, ["g1", "g2"]).select("t", "len", covers.alias("covers")).groupBy("t", "len").agg(F.flatten(F.collect_list("covers")).alias("covers"))
 
 
+def repeated_words(docs: DataFrame, words: int, length: int) -> DataFrame:
+    """t, len and covers, as removed_ranges(), of runs of `words` whole words that have under `length` bytes and also start elsewhere."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", PART):
+                raw, off = utf8_views(part.column("text"))
+                start, end = word_bounds(raw, off)
+                text = np.searchsorted(off, start, side="right") - 1
+                a, b = start[: max(0, len(start) - words + 1)], end[words - 1 :]
+                text, last = text[: len(a)], text[words - 1 :]
+                ok = (text == last) & (b - a < length)
+                a, b, text = a[ok], b[ok], text[ok]
+                view = memoryview(np.ascontiguousarray(raw))
+                g = np.frombuffer(b"".join(hashlib.blake2b(view[x:y], digest_size=16).digest() for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.int64).reshape(-1, 2)
+                where = pa.array(text)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(where) for c in ("t", "len")), pa.array((a - off[text]).astype(np.int32)), pa.array((b - off[text]).astype(np.int32)), pa.array(g[:, 0].copy()), pa.array(g[:, 1].copy())],
+                    names=["t", "len", "a", "b", "g1", "g2"],
+                )
+
+    every = written(docs.select("text", *text_key()).mapInArrow(lean(work), "t long, len int, a int, b int, g1 long, g2 long"), "words")
+    twice = written(every.groupBy("g1", "g2").agg(F.count("*").alias("m")).where("m > 1").select("g1", "g2"), "twice")
+    places = every.join(twice, ["g1", "g2"], "left_semi").groupBy("t", "len", "a", "b").agg(F.lit(1).alias("one"))
+    return places.groupBy("t", "len").agg(F.collect_list(F.struct("a", "b")).alias("covers"))
+
+
 def _united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs covered by [a, b)."""
     order = np.argsort(a, kind="stable")
@@ -315,15 +342,19 @@ def _united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)]
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, with_text: bool = False, words: int = 0) -> DataFrame:
     """docs' other columns with n_bytes, n_removed, n_spans, kept_sha256 and, if asked, text: the remaining bytes (those that a cut leaves of
-    a character, at its ends, are dropped from text). Clashing columns are replaced."""
+    a character, at its ends, are dropped from text). Clashing columns are replaced. words: runs of so many whole words that repeat go too,
+    if they have fewer bytes than `length`."""
     added = ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *["text string"] * with_text]
     names = [x.split()[0] for x in added]
     others = [c for c in docs.columns if c not in (*names, "text")]
     base = docs.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     source = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranges = written(removed_ranges(source, length), "ranges").alias("r")
+    ranges = removed_ranges(source, length)
+    if words:
+        ranges = ranges.unionAll(repeated_words(source, words, length)).groupBy("t", "len").agg(F.flatten(F.collect_list("covers")).alias("covers"))
+    ranges = written(ranges, "ranges").alias("r")
     keyed = base.select("*", *[k.alias(f"__{n}") for k, n in zip(text_key(), ("t", "len"), strict=True)])
     both = keyed.join(ranges, (F.col("__t") == F.col("r.t")) & (F.col("__len") == F.col("r.len")), "left").select(*[F.col(f"`{c}`") for c in others], "text", "covers")
     schema = ", ".join([*(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in others), *added])

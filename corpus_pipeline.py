@@ -16,8 +16,8 @@ from cloakframe.llm import bpe, jaccard, mixing, quality, suffix
 from cloakframe.llm.common import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Passages of over 50 words are longer than this in bytes.
-REPEAT_BYTES = 240
+#: Strings of so many bytes, and shorter ones of so many words (passages of over 50 words), that repeat are removed.
+REPEAT_BYTES, REPEAT_WORDS = 240, 51
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of passages that also start anywhere else."""
-    cut = suffix.deduplicated(docs.select(*COLUMNS), REPEAT_BYTES, with_text=True)
+    cut = suffix.deduplicated(docs.select(*COLUMNS), REPEAT_BYTES, with_text=True, words=REPEAT_WORDS)
     return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 

@@ -216,6 +216,37 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.count() > 0 and {"doc_id", "n_tokens", "ids"} <= set(docs.columns)
 
 
+def test_passages_of_short_words(spark):
+    """Repeats of over 50 words go though they have under 240 bytes, in other documents and in one; those of 50 stay."""
+    rng = random.Random(11)
+    word = lambda k: "".join(rng.choices("abcdefghé", k=k))
+    prose = lambda n: " ".join(word(rng.randint(6, 9)) for _ in range(n))
+    short = lambda n: rng.choice([" ", "  ", "\n"]).join(word(rng.randint(1, 3)) for _ in range(n))
+    shared = [short(n) for n in (50, 51, 52, 58)]
+    rows = [None, "", " ", " ".join("a" * 50), " ".join("b" * 51), " ".join("b" * 51), " ".join("c" * 70)]
+    for s in shared:
+        rows += [f"{prose(20)} {s} {prose(9)}", f"{prose(3)} {s}", f"{s} {prose(12)}"]
+    rows += [f"{shared[1]} {prose(5)} {shared[1]}", prose(2) + shared[2], " ".join(word(1) for _ in range(300)), rows[7]]
+    rows = [*enumerate(rows), (7, rows[7]), (None, rows[9])]
+    assert all(len(s.encode()) < corpus_pipeline.REPEAT_BYTES for s in shared)
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", (t or "").encode())] for _, t in rows]
+    runs = [{(w[i][0], w[i + 50][1]) for i in range(len(w) - 50)} for w in spans]
+    data = [(t or "").encode() for _, t in rows]
+    seen = Counter(d[a:b] for d, own in zip(data, runs, strict=True) for a, b in own)
+    long = Counter(d[i : i + 240] for d in data for i in range(len(d) - 239))
+    want = []
+    for (d, _), b, own in zip(rows, data, runs, strict=True):
+        gone = bytearray(len(b))
+        for x, y in [*own, *((i, i + 240) for i in range(len(b) - 239))]:
+            if seen[b[x:y]] > 1 or long[b[x:y]] > 1:
+                gone[x:y] = b"\1" * (y - x)
+        want.append((d, bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")))
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.repeated_passages(spark, df, SF).collect())
+    assert got == Counter(want)
+    assert got[(4, "")] == 1 and got[(3, rows[3][1])] == 1
+
+
 def test_pipeline_edges(spark, tmp_path):
     rows = [(1, None, None, None, None), (2, " ".join(f"word{i}" for i in range(200)), "en", "a", 5), (2, " ".join(f"word{i}" for i in range(200)), "en", "a", 5), (None, " ".join(f"other{i}" for i in range(90)), "en", None, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("size", F.lit("x"))
