@@ -8,7 +8,8 @@ regions are one text, sorted with common prefixes by `induced`; neighbours in th
 string, which repeats if the regions that hold it occur more than once in all. Starts of repeated strings go back
 to the texts by region, and each text unites what they cover.
 
-A shard may be far larger than memory: the sorter's queues are on disk. An anchor with over HOT distinct regions would not fit one
+Only the sorter's queues may be on disk: a shard's text, weights and types are held in memory, and the number of shards (8 for each
+shuffle partition) does not follow the input, so a task fails if its shard outgrows it. An anchor with over HOT distinct regions would not fit one
 task at any scale; its regions are cut into cells of 32 starts, dealt by 128-bit hashes of what a cell's strings have in common. Where cells of one
 hash differ, their strings' own hashes are compared: together if they are few, else dealt one by one; all with partial sums.
 
