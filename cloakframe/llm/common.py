@@ -10,7 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 #: ASCII white space, as all contracts of this subpackage define words: [^\x20\x09-\x0D]+
 WHITE = r"[\x20\x09-\x0D]"
@@ -47,16 +47,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = path
     return out
 
 
-def forget(*tables: DataFrame) -> None:
-    """Deletes tables that written() made, once all that is made of them is written itself, and has Spark drop the shuffles behind them (it
-    does so when the driver collects its garbage)."""
-    for t in tables:
-        drop_folder(t.sparkSession, t.written_at)
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
+def counted(df: DataFrame, label: str, n: Column | None = None) -> tuple[DataFrame, int]:
+    """written(), and its number of rows (or a sum, n) as seen while it was written: for sizes of parts, where a task that ran twice may count twice."""
+    seen = Observation()
+    out = written(df.observe(seen, (F.count(F.lit(1)) if n is None else F.coalesce(F.sum(n), F.lit(0))).alias("n")), label)
+    return out, seen.get["n"]
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

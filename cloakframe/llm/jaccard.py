@@ -1,47 +1,59 @@
-"""N-gram Jaccard join by T-occurrence search.
+"""N-gram Jaccard join by T-occurrence search (DivideSkip).
 
 Two sets with Jaccard similarity of t or more share at least T = t / (1 + t) * (n + m) shingles. DivideSkip, distributed:
 
-1. Order all shingles by how frequent they are (levels of local counts, then hash). Of each set, the T - l most frequent
+1. Order all shingles by how frequent they are (levels of counts over all documents, then hash). Of each set, the T - l most frequent
    shingles are its long lists; they are never merged. The others, n - T + l of them, are its short lists: an inverted index over
-   them is dealt by shingle, its lists are merged, and a pair that meets in l short lists or more is a candidate.
-2. Candidates are probed in the long lists: binary searches of one whole sorted set in the other give the exact overlap.
+   them is dealt by shingle to parts of bounded size. In each part every set looks its short lists up: a binary search skips what is too small for it,
+   a heap merges the rest of the lists, and counts how often each other set meets it. Pairs that meet in l short lists or more, over all parts, are candidates.
+2. Candidates are probed in the long lists: a set is in the list of a shingle if a binary search finds the shingle in the sorted set. The count over one whole set is the exact overlap.
 
 The order decides only how much work there is, never the result. Texts with equal sets are one class, so copies don't meet in lists.
-A first round links classes that agree in a band of minimum hashes to one class of each band, as far as the exact overlap
-confirms it, and a second one each class with its nearest one in each long list, by bitmaps of parities. Lists give pairs between different
-components of those links only, and the bitmaps sieve them before whole sets are fetched, so a large group of near copies does not give all its pairs. The result is whole: every pair of classes in different components that can reach t is probed.
+
+joined() needs components only, so it leaves out pairs that are known to be connected. A first round links classes that agree in a band of minimum hashes to one
+class of each band, and a second one each class with its nearest one in each list of a frequent shingle, by bitmaps of parities, as far as the exact overlap
+confirms it; lists then give pairs between different components of those links only. The result is whole: every pair of classes in different components that can
+reach t is probed. A list of a very frequent shingle is dealt as pairs of blocks of it, to many tasks. links() leaves nothing out and gives every pair.
 
 Defined results: null texts and texts without words have empty sets, link with nothing and are components of their own; rows that repeat
-or share a doc_id keep one row each; null doc_ids are never a component's smallest unless all are null.
-Only fixed-size bitmaps (levels of shingles, needed documents) go to all executors.
+or share a doc_id keep one row each; null doc_ids are never a component's smallest unless all are null; very long texts are worked on whole, one by one; an empty
+table gives an empty one; columns other than doc_id and text are not looked at, whatever their names.
+Bitmaps and levels that go to all executors grow with the input up to a fixed size (MOST_SLOTS, MOST_IDS); beyond it there is more work, and the same result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cloakframe.llm.common import forget, lean, slices, table, text_batches, utf8_views, written
+from cloakframe.llm.common import counted, lean, slices, table, text_batches, utf8_views, written
 from cloakframe.llm.components import components
-from cloakframe.llm.shingles import mix, shingle_hashes, shingle_sets
+from cloakframe.llm.shingles import mix, shingle_sets
 
-#: Bitmaps have this many bits, whatever the input; a shingle's or an id's slot is its first bits.
-SLOT_BITS, BUCKET = 21, 32768
+#: Levels of shingles and bitmaps of ids have 2^21 slots for inputs up to 4 GB, and grow with the input to at most 2^24 and 2^28. A slot is a shingle's or an id's first bits.
+SLOT_BITS, MOST_SLOTS, MOST_IDS, BUCKET = 21, 24, 28, 32768
 #: Local counts are taken over blocks of so many shingles; levels begin at these sums of local counts.
 BLOCK, LEVELS = 1 << 21, (16, 64, 256, 1024, 4096, 16384, 65536, 1 << 20)
+#: Blocks of the lists of shingles of the two highest levels.
+SPLIT = {7: 4, 8: 16}
 BANDS, ROWS = 8, 3
-#: Bits of a set's parity, and lists over which a class's partners are dealt.
-PARITY, SPLIT = 1024, 16
+#: Bits of a set's parity.
+PARITY = 1024
 PART = 1 << 18
-POSTING = np.dtype([("h", "<u8"), ("c", "<i8"), ("label", "<i8"), ("n", "<i4"), ("place", "<u4")])
+#: Postings that a part of the index has on average, and pairs that are looked at together in it.
+PART_POSTINGS, TOGETHER = 1 << 17, 1 << 18
+#: h: the list (a shingle, or a pair of blocks of its list); side: 1 and 2 in a pair of different blocks, else 0.
+POSTING = np.dtype([("h", "<u8"), ("c", "<i8"), ("label", "<i8"), ("n", "<i4"), ("place", "<u4"), ("side", "u1")])
 #: In lists of shingles that have a level, postings carry the parity, so that long lists are sieved where they are merged.
 HEAVY = np.dtype([*POSTING.descr, ("parity", f"V{PARITY // 8}")])
 _ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+_NONE = 1 << 30
 
 
 def least_overlap(n: np.ndarray | int, m: np.ndarray | int, percent: int):
@@ -58,18 +70,31 @@ def short_lists(n: int, percent: int) -> int:
     return min(n, n - -(-percent * n // 100) + extra(n))
 
 
-def _bits(df: DataFrame, slot: str) -> np.ndarray:
-    """A bitmap of the slots in df: 2^21 flags, by native aggregates; 64 rows of 4 KB come to the driver."""
+def slot_bits(docs: DataFrame, most: int) -> int:
+    """Bits of slots for an input of this size, as the optimizer estimates it (at or over 2^60 bytes it has no idea): one slot for 2 KB."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(most, max(SLOT_BITS, (size >> 11).bit_length())) if size < 1 << 60 else SLOT_BITS
+
+
+def _bits(df: DataFrame, slot: str, bits: int = SLOT_BITS) -> np.ndarray:
+    """A bitmap of the slots in df, by native aggregates; rows of 4 KB come to the driver, 2^bits bits in all."""
+    return _bitmaps(df, slot, bits, [F.lit(True)])[0].astype(bool)
+
+
+def _bitmaps(df: DataFrame, slot: str, bits: int, conditions: list[Column]) -> np.ndarray:
+    """A bitmap of the slots in df for each condition, in one pass."""
     one = F.col(slot) + 1  # the first bucket has number 1 and holds the values from 1 on; 0 has a bucket of its own
-    rows = df.groupBy(F.bitmap_bucket_number(one).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits")).collect()
-    out = np.zeros(1 << SLOT_BITS, bool)
-    for r in rows:
-        part = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
-        out[(r["k"] - 1) * BUCKET + np.flatnonzero(part)] = True
+    rows = df.select(F.bitmap_bucket_number(one).alias("k"), *[F.when(c, F.bitmap_bit_position(one)).alias(f"at{i}") for i, c in enumerate(conditions)])
+    out = np.zeros((len(conditions), 1 << bits), np.uint8)
+    found = rows.groupBy("k").agg(*[F.expr(f"bitmap_construct_agg(at{i}) FILTER (WHERE at{i} IS NOT NULL)").alias(f"b{i}") for i in range(len(conditions))])
+    for r in found.collect():
+        for i in range(len(conditions)):
+            if r[f"b{i}"] is not None:
+                out[i, (r["k"] - 1) * BUCKET + np.flatnonzero(np.unpackbits(np.frombuffer(r[f"b{i}"], np.uint8), bitorder="little"))] = 1
     return out
 
 
-def shingle_levels(docs: DataFrame, words: int) -> np.ndarray:
+def shingle_levels(docs: DataFrame, words: int, bits: int = SLOT_BITS) -> np.ndarray:
     """A level for each slot of shingles, from the counts over all documents of those that repeat within a block of a task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +107,7 @@ def shingle_levels(docs: DataFrame, words: int) -> np.ndarray:
                 h.sort()
                 first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
                 n = np.diff(np.append(first, len(h)))
-                slot, at = np.unique((h[first[n > 1]] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), return_inverse=True)
+                slot, at = np.unique((h[first[n > 1]] >> np.uint64(64 - bits)).astype(np.int64), return_inverse=True)
                 sums = np.bincount(at, weights=n[n > 1], minlength=len(slot)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(sums)], names=["slot", "n"])
 
@@ -97,11 +122,8 @@ def shingle_levels(docs: DataFrame, words: int) -> np.ndarray:
                     size = 0
         yield from out()
 
-    counts = written(docs.select("text").mapInArrow(lean(work), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= LEVELS[0]), "levels")
-    level = np.zeros(1 << SLOT_BITS, np.uint8)
-    for least in LEVELS:
-        level += _bits(counts.where(F.col("n") >= least), "slot")
-    return level
+    counts = docs.select("text").mapInArrow(lean(work), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= LEVELS[0])
+    return _bitmaps(counts, "slot", bits, [F.col("n") >= least for least in LEVELS]).sum(axis=0, dtype=np.uint8)
 
 
 def class_of(s: np.ndarray) -> int:
@@ -109,56 +131,59 @@ def class_of(s: np.ndarray) -> int:
 
 
 def sketched(docs: DataFrame, words: int, percent: int, level: np.ndarray) -> DataFrame:
-    """doc_id, n, c (class: hash of the set), bands, short (the short lists' shingles; the first `light` have no level) and parity of every document; c is null for empty sets."""
-    schema = "doc_id long, n long, c long, bands array<long>, short binary, light int, parity binary"
-    levels = docs.sparkSession.sparkContext.broadcast(level)
+    """doc_id, n, c (class: hash of the set), bands, short (the short lists' shingles; the first `light` have no level), heavy (the levels of the others) and
+    parity of every document; c is null for empty sets."""
+    schema = "doc_id long, n long, c long, bands array<long>, short binary, light int, heavy binary, parity array<long>"
+    levels, bits = docs.sparkSession.sparkContext.broadcast(level), len(level).bit_length() - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lev = levels.value
         for batch in batches:
             for part in slices(batch, "text", PART):
-                n, c, bands, short, light, parity = [], [], [], [], [], []
+                n, c, bands, short, light, heavy, parity = [], [], [], [], [], [], []
                 for s in shingle_sets(*utf8_views(part.column("text")), words):
                     n.append(len(s))
                     if not len(s):
-                        c.append(None), bands.append([]), short.append(b""), light.append(0), parity.append(b"")
+                        c.append(None), bands.append([]), short.append(b""), light.append(0), heavy.append(b""), parity.append([])
                         continue
                     c.append(class_of(s))
                     low = np.concatenate([(s[i : i + 4096, None] * _ODD).min(axis=0)[None] for i in range(0, len(s), 4096)]).min(axis=0).reshape(BANDS, ROWS)
                     key = mix(mix(mix(low[:, 0]) + low[:, 1]) + low[:, 2] + np.arange(BANDS, dtype=np.uint64))
                     bands.append(key.view(np.int64))
-                    parity.append(np.packbits(np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes())
-                    of = lev[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-                    k = short_lists(len(s), percent)
-                    short.append((s[np.argsort(of, kind="stable")[:k]] if of.any() else s[:k]).tobytes())
-                    light.append(min(k, int((of == 0).sum())))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary()), pa.array(light, pa.int32()), pa.array(parity, pa.binary())], names=["doc_id", "n", "c", "bands", "short", "light", "parity"])
+                    parity.append(np.packbits(np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).view(np.int64))
+                    of = lev[(s >> np.uint64(64 - bits)).astype(np.int64)]
+                    order = np.argsort(of, kind="stable")[: short_lists(len(s), percent)]
+                    few = int((of[order] == 0).sum())
+                    short.append(s[order].tobytes()), light.append(few), heavy.append(of[order[few:]].tobytes())
+                cols = [pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary()), pa.array(light, pa.int32()), pa.array(heavy, pa.binary()), pa.array(parity, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], names=["doc_id", "n", "c", "bands", "short", "light", "heavy", "parity"])
 
     return docs.select("doc_id", "text").mapInArrow(lean(work), schema)
 
 
 def whole_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """c and whole (its sorted hashes) of the classes in needed (c, id: one of its documents), one row each. Other documents are left out by a
-    bitmap of ids before their sets are computed, and by the join after; copies that pass the bitmap leave one set before that join."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << SLOT_BITS))
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_bits(needed.select(slot.alias("slot")), "slot"), bitorder="little"))
+    """c and whole (its sorted hashes), one row each, of the classes in needed (c, id: one of its documents), and of others whose documents' ids share a slot
+    with a needed one: documents are left out by a bitmap of ids before their sets are computed."""
+    bits = slot_bits(docs, MOST_IDS)
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits)).alias("slot")
+    known = docs.sparkSession.sparkContext.broadcast(np.packbits(_bits(needed.select(slot("id")), "slot", bits), bitorder="little"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(bits.value, bitorder="little").astype(bool)
+        wanted = known.value
         for batch in batches:
-            batch = batch.filter(pa.array(wanted[batch.column("slot").to_numpy()]))
+            at = batch.column("slot").to_numpy()
+            batch = batch.filter(pa.array((wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
             for part in slices(batch, "text", PART):
                 found = [s for s in shingle_sets(*utf8_views(part.column("text")), words)]
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["c", "whole"])
 
-    some = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << SLOT_BITS)).alias("slot")).mapInArrow(lean(work), "c long, whole binary")
-    return some.groupBy("c").agg(F.first("whole").alias("whole")).join(needed.select("c"), "c", "left_semi")
+    return docs.select("text", slot("doc_id")).mapInArrow(lean(work), "c long, whole binary").groupBy("c").agg(F.first("whole").alias("whole"))
 
 
-def probed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of candidate pairs (x, y of classes), those that are linked, as u and v."""
-    ids = written(pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct().join(classes.select("c", "id"), "c"), "needed")
-    sets = written(whole_sets(docs, ids, words), "sets")
+def probed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of candidate pairs (x, y of classes; xid, yid: a document of each), those that are linked, as u and v."""
+    needed = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("c"), F.col("xid").alias("id")), F.struct(F.col("y").alias("c"), F.col("yid").alias("id")))).alias("s")).select("s.c", "s.id")
+    sets = written(whole_sets(docs, needed, words), "sets")
     both = pairs.join(sets.select(F.col("c").alias("x"), F.col("whole").alias("wx")), "x").join(sets.select(F.col("c").alias("y"), F.col("whole").alias("wy")), "y")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +197,7 @@ def probed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, pe
                 keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    out = written(both.select("x", "y", "wx", "wy").mapInArrow(lean(work), "u long, v long"), "links")
-    forget(ids, sets)
-    return out
+    return written(both.select("x", "y", "wx", "wy").mapInArrow(lean(work), "u long, v long"), "links")
 
 
 def banded_pairs(classes: DataFrame) -> DataFrame:
@@ -198,8 +221,23 @@ def _unpacked(data: pa.Buffer, kind: np.dtype) -> np.ndarray:
     return rows
 
 
+def in_blocks(rows: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Postings of very frequent shingles as postings of pairs of blocks of their lists: in each pair with a posting's own block, one."""
+    out = [rows[level < min(SPLIT)]]
+    for at, blocks in SPLIT.items():
+        own = rows[level == at]
+        block = (mix(own["c"].view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+        for other in range(blocks):
+            cell = own.copy()
+            pair = np.minimum(block, other) * blocks + np.maximum(block, other) + 1
+            cell["h"] = mix(cell["h"] + pair.astype(np.uint64))
+            cell["side"] = np.where(block == other, 0, np.where(block < other, 1, 2))
+            out.append(cell)
+    return np.concatenate(out)
+
+
 def _deal(parts: int, heavy_only: bool = False):
-    """Postings of a task as one record array for each part of the shingles (and another for those with a level)."""
+    """Postings of a task as one record array for each part of the lists (and another for lists of shingles with a level)."""
 
     def dealt(held: list[np.ndarray], heavy: bool) -> Iterator[pa.RecordBatch]:
         if not held:
@@ -217,17 +255,19 @@ def _deal(parts: int, heavy_only: bool = False):
         held: list[list[np.ndarray]] = [[], []]
         size = 0
         for batch in batches:
-            for c, label, n, short, light, parity in zip(*(batch.column(k).to_pylist() for k in ("c", "label", "n", "short", "light", "parity")), strict=True):
+            parities = batch.column("parity").flatten().to_numpy().reshape(-1, PARITY // 64)
+            for i, (c, label, n, short, light, level) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("c", "label", "n", "short", "light", "heavy")), strict=True)):
                 h = np.frombuffer(short, np.uint64)
                 for heavy, own in ((0, h[:light]), (1, h[light:])):
                     if len(own) and heavy >= heavy_only:
-                        rows = np.empty(len(own), HEAVY if heavy else POSTING)
+                        rows = np.zeros(len(own), HEAVY if heavy else POSTING)
                         rows["h"], rows["c"], rows["label"], rows["n"] = own, c, label, n
                         rows["place"] = np.arange(len(own)) + light * heavy
                         if heavy:
-                            rows["parity"] = np.frombuffer(parity, HEAVY["parity"])[0]
+                            rows["parity"] = np.frombuffer(parities[i].tobytes(), HEAVY["parity"])[0]
+                            rows = in_blocks(rows, np.frombuffer(level, np.uint8))
                         held[heavy].append(rows)
-                        size += len(own) * (1 + 4 * heavy)
+                        size += len(rows) * (1 + 4 * heavy)
                 if size >= 1 << 19:
                     for heavy in (0, 1):
                         yield from dealt(held[heavy], bool(heavy))
@@ -238,67 +278,99 @@ def _deal(parts: int, heavy_only: bool = False):
     return work
 
 
-def _merged(rows: np.ndarray, percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+def heap_merged(runs: list[list[int]]) -> Iterator[tuple[int, int]]:
+    """Each number in some ascending runs, and in how many of them it is."""
+    if len(runs) == 1:
+        return ((y, 1) for y in runs[0])
+    return ((y, sum(1 for _ in same)) for y, same in groupby(heapq.merge(*runs)))
+
+
+def _looked_up(rows: np.ndarray, percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs that meet in some lists that are short for both, with how often: across labels only, of sizes that fit and, where postings
-    have one, of parities that fit. nearest: of each posting only the pair whose parities are apart least."""
+    have one, of parities that fit. nearest: of each posting only the pair whose parities are apart least.
+
+    Sets are ranked by size, and lists ascend by rank; a set looks up, in each of its lists, what comes before it and is not too small."""
     if not len(rows):
         return
     rows = rows[np.argsort(rows["h"], kind="stable")]
     first = np.flatnonzero(np.append(True, rows["h"][1:] != rows["h"][:-1]))
     count = np.diff(np.append(first, len(rows)))
     mixed = np.minimum.reduceat(rows["label"], first) < np.maximum.reduceat(rows["label"], first)
-    rows, count = rows[np.repeat(mixed, count)], count[mixed]
+    rows, which = rows[np.repeat(mixed, count)], np.repeat(np.arange(int(mixed.sum())), count[mixed])
     if not len(rows):
         return
-    ids, one, c = np.unique(rows["c"], return_index=True, return_inverse=True)
-    size = rows["n"][one].astype(np.int64)
-    parity = np.frombuffer(np.ascontiguousarray(rows["parity"][one]).tobytes(), np.uint64).reshape(-1, PARITY // 64) if "parity" in rows.dtype.names else None
-    label, place, left = rows["label"], rows["place"].astype(np.int64), np.repeat(count, count) - (np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count))
-    held: list[np.ndarray] = []
-    close, partner = np.full(len(rows), 1 << 30), np.zeros(len(rows), np.uint64)
+    order = np.lexsort((rows["c"], rows["n"], which))
+    rows, which = rows[order], which[order]
+    ids, one, back = np.unique(rows["c"], return_index=True, return_inverse=True)
+    by_size = np.lexsort((ids, rows["n"][one]))
+    rank = np.empty(len(ids), np.int64)
+    rank[by_size] = np.arange(len(ids))
+    ids, size, rank = ids[by_size], rows["n"][one][by_size].astype(np.int64), rank[back]
+    parity = np.frombuffer(np.ascontiguousarray(rows["parity"][one][by_size]).tobytes(), np.uint64).reshape(-1, PARITY // 64) if "parity" in rows.dtype.names else None
+    label, place, side = rows["label"], rows["place"].astype(np.int64), rows["side"]
+    fits = np.searchsorted(size, -(-percent * size // 100))  # the first rank that is not too small for a rank
+    keys = which * len(ids) + rank
+    lo, hi = np.searchsorted(keys, which * len(ids) + fits[rank]), np.searchsorted(keys, keys)
+    probing = np.lexsort((which, rank))  # the postings of a set side by side
+    probing = probing[hi[probing] > lo[probing]]
+    ends = np.cumsum((hi - lo)[probing])
+    close, partner = np.full(len(rows), _NONE), np.zeros(len(rows), np.int64)
+    found: list[list] = [[], [], []]
 
     def out() -> Iterator[pa.RecordBatch]:
-        if held:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            x, y = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            for i in range(0, len(key), 1 << 16):
-                s = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x[s]]), pa.array(ids[y[s]]), pa.array(size[x[s]]), pa.array(size[y[s]]), pa.array(n[s].astype(np.int64))], names=["x", "y", "nx", "ny", "k"])
-
-    at, step, total = np.arange(len(rows)), 1, 0
-    while len(at := at[left[at] > step]):
-        for i in range(0, len(at), 1 << 18):
-            p = at[i : i + (1 << 18)]
-            a, b = c[p], c[p + step]
-            na, nb = size[a], size[b]
-            long = least_overlap(na, nb, percent) - np.minimum(extra(na), extra(nb))  # lists of the pair that are never merged
-            ok = (label[p] != label[p + step]) & (a != b) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (place[p] < na - long) & (place[p + step] < nb - long)
-            a, b = a[ok], b[ok]
-            if parity is not None:
-                apart = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
-                fits = apart <= size[a] + size[b] - 2 * least_overlap(size[a], size[b], percent)
-                a, b = a[fits], b[fits]
-            pair = (np.minimum(a, b).astype(np.uint64) << np.uint64(32)) | np.maximum(a, b).astype(np.uint64)
-            if nearest:
-                apart = apart[fits]
-                for q in (p[ok][fits], p[ok][fits] + step):  # within a step each posting has one partner on either side
-                    better = apart < close[q]
-                    close[q[better]], partner[q[better]] = apart[better], pair[better]
-                continue
-            held.append(pair)
-            total += len(a)
-            if total >= 1 << 20:
-                yield from out()
-                total = 0
-        step += 1
+        x, y, n = (np.array(c, np.int64) for c in found)
+        for c in found:
+            c.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[x], ids[y], size[x], size[y], n)], names=["x", "y", "nx", "ny", "k"])
+
+    i = 0
+    while i < len(probing):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + TOGETHER, side="right")))
+        own = probing[i:j]
+        i, many = j, (hi - lo)[own]
+        p = np.repeat(own, many)
+        q = np.arange(len(p)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo[own], many)
+        a, b = rank[p], rank[q]
+        long = least_overlap(size[a], size[b], percent) - np.minimum(extra(size[a]), extra(size[b]))  # lists of the pair that are never merged
+        ok = (label[p] != label[q]) & (a != b) & (place[p] < size[a] - long) & (place[q] < size[b] - long) & ((side[p] == 0) | (side[p] != side[q]))
+        p, q, a, b = p[ok], q[ok], a[ok], b[ok]
+        if parity is not None:
+            apart = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
+            ok = apart <= size[a] + size[b] - 2 * least_overlap(size[a], size[b], percent)
+            p, q, a, b, apart = p[ok], q[ok], a[ok], b[ok], apart[ok]
+        if not len(p):
+            continue
+        if nearest:
+            for at, other in ((p, q), (q, p)):
+                best = np.lexsort((apart, at))
+                best = best[np.append(True, at[best][1:] != at[best][:-1])]
+                best = best[apart[best] < close[at[best]]]
+                close[at[best]], partner[at[best]] = apart[best], other[best]
+            continue
+        cut = np.flatnonzero(np.append(True, p[1:] != p[:-1]))  # the runs: what one posting meets
+        probe, starts, y = a[cut].tolist(), [*cut.tolist(), len(p)], b.tolist()
+        k = 0
+        while k < len(probe):
+            m = k + 1
+            while m < len(probe) and probe[m] == probe[k]:
+                m += 1
+            for other, n in heap_merged([y[starts[r] : starts[r + 1]] for r in range(k, m)]):
+                found[0].append(probe[k]), found[1].append(other), found[2].append(n)
+            k = m
+        if len(found[0]) >= 1 << 16:
+            yield from out()
     if nearest:
-        held.append(partner[close < 1 << 30])
-    yield from out()
+        p = np.flatnonzero(close < _NONE)
+        a, b = rank[p], rank[partner[p]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        x, y = pairs[:, 0], pairs[:, 1]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[x], ids[y], size[x], size[y], np.ones(len(x), np.int64))], names=["x", "y", "nx", "ny", "k"])
+    elif found[0]:
+        yield from out()
 
 
 def _meetings(percent: int, nearest: bool = False):
-    """The lists of one part, merged."""
+    """The lists of one part, looked up."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, list[np.ndarray]] = {False: [], True: []}
@@ -307,17 +379,17 @@ def _meetings(percent: int, nearest: bool = False):
                 held[heavy].append(_unpacked(x.as_buffer(), HEAVY if heavy else POSTING))
         for rows in held.values():
             if rows:
-                yield from _merged(np.concatenate(rows), percent, nearest)
+                yield from _looked_up(np.concatenate(rows), percent, nearest)
 
     return work
 
 
-def met_pairs(classes: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
-    """Candidate pairs (x, y): classes (c, label, n, short, light, parity) of different labels that meet in enough short lists. nearest: only each
-    class's nearest one in each list of a shingle that has a level."""
-    spark = classes.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = classes.select("c", "label", "n", "short", "light", "parity").mapInArrow(lean(_deal(2 * tasks, nearest)), "part int, rows binary, heavy boolean")
+def met_pairs(classes: DataFrame, postings: int, percent: int, nearest: bool = False) -> DataFrame:
+    """Candidate pairs (x, y): classes (c, label, n, short, light, heavy, parity) of different labels that meet in enough short lists. postings: how many
+    there are in all. nearest: only each class's nearest one in each list of a shingle that has a level."""
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(16 * tasks, postings // PART_POSTINGS)
+    dealt = classes.select("c", "label", "n", "short", "light", "heavy", "parity").mapInArrow(lean(_deal(parts, nearest)), "part int, rows binary, heavy boolean")
     meet = _meetings(percent, nearest)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +398,7 @@ def met_pairs(classes: DataFrame, percent: int, nearest: bool = False) -> DataFr
     met = dealt.groupBy("part").applyInArrow(grouped, "x long, y long, nx long, ny long, k long")
     if nearest:
         return met.select("x", "y").distinct()
-    return met.groupBy("x", "y", "nx", "ny").agg(F.sum("k").alias("k")).where(F.col("k") >= needed_meetings("nx", "ny", percent)).select("x", "y", "k")
+    return met.groupBy("x", "y", "nx", "ny").agg(F.sum("k").alias("k")).where(F.col("k") >= needed_meetings("nx", "ny", percent)).select("x", "y")
 
 
 def needed_meetings(nx: str, ny: str, percent: int) -> Column:
@@ -337,29 +409,13 @@ def needed_meetings(nx: str, ny: str, percent: int) -> Column:
 
 
 def sieved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) whose sets can't differ by too much: each element flips one of 1024 bits of its set's parity, so the parities differ in no
-    more bits than the sets do in elements. classes: c, n, parity.
-
-    A class may have very many partners: they travel in SPLIT lists for each, first to x's parity and then to y's."""
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(SPLIT)).alias("part")
-    by_x = pairs.groupBy("x", part("y")).agg(F.collect_list("y").alias("ys"))
-    with_x = by_x.join(classes.select(F.col("c").alias("x"), "n", "parity"), "x").select("x", "n", "parity", F.explode("ys").alias("y"))
-    by_y = with_x.groupBy("y", part("x")).agg(F.collect_list(F.struct("x", "n", "parity")).alias("xs"))
-    both = by_y.join(classes.select(F.col("c").alias("y"), F.col("n").alias("m"), F.col("parity").alias("other")), "y").select("y", "m", "other", "xs")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                rows = batch.slice(i, 500)
-                lists = rows.column("xs")
-                items, at = lists.flatten(), np.repeat(np.arange(rows.num_rows), np.diff(lists.offsets.to_numpy()))
-                bits = lambda c: utf8_views(c)[0].reshape(-1, PARITY // 8)
-                apart = np.bitwise_count(bits(items.field("parity")) ^ bits(rows.column("other"))[at]).sum(axis=1, dtype=np.int64)
-                n, m = items.field("n").to_numpy(), rows.column("m").to_numpy()[at]
-                ok = pa.array(apart <= n + m - 2 * least_overlap(n, m, percent))
-                yield pa.RecordBatch.from_arrays([items.field("x").filter(ok), rows.column("y").take(pa.array(at)).filter(ok)], names=["x", "y"])
-
-    return both.mapInArrow(lean(work), "x long, y long")
+    """Pairs (x, y) whose sets can't differ by too much, with a document of each (xid, yid): each element flips one of 1024 bits of its set's parity, so the
+    parities differ in no more bits than the sets do in elements. classes: c, id, n, parity."""
+    of = lambda c: classes.select(F.col("c").alias(c), F.col("id").alias(f"{c}id"), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+    both = pairs.join(of("x"), "x").join(of("y"), "y")
+    apart = F.aggregate(F.zip_with("px", "py", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+    total = F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / F.lit(100 + percent))
+    return both.where(apart <= F.col("nx") + F.col("ny") - 2 * total).select("x", "y", "xid", "yid")
 
 
 def labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -368,29 +424,46 @@ def labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
     return classes.join(found, classes["c"] == found["node"], "left").withColumn("label", F.coalesce("label", "c")).drop("node")
 
 
+def classified(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """Of documents: doc_id, n, c; of classes: c, id (the smallest doc_id) and what sketched() gives; the number of postings."""
+    base = written(sketched(docs, words, percent, shingle_levels(docs, words, slot_bits(docs, MOST_SLOTS))), "sketches")
+    own = ["n", "bands", "short", "light", "heavy", "parity"]
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", *own)).alias("first")
+    classes = base.where("c IS NOT NULL").groupBy("c").agg(first).select("c", F.col("first.doc_id").alias("id"), *[f"first.{c}" for c in own])
+    return base.select("doc_id", "n", "c"), *counted(classes, "classes", F.octet_length("short") / 8)
+
+
+def _typed(docs: DataFrame) -> DataFrame:
+    text_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def links(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """u, v: every pair of classes that are linked, each class as the smallest doc_id of its documents. n near copies of each other have n (n - 1) / 2 links; joined()
+    doesn't list them."""
+    docs = _typed(docs)
+    _, classes, postings = classified(docs, words, percent)
+    candidates = written(sieved(met_pairs(classes.withColumn("label", F.col("c")), int(postings), percent), classes, percent), "pairs")
+    found, of = probed(candidates, docs, words, percent), classes.select("c", "id")
+    ids = found.join(of.select(F.col("c").alias("u"), F.col("id").alias("a")), "u").join(of.select(F.col("c").alias("v"), F.col("id").alias("b")), "v")
+    return ids.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+
+
 def joined(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id of every document (doc_id, text)."""
-    text_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    base = written(sketched(docs, words, percent, shingle_levels(docs, words)), "sketches")
-    ids = written(base.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("id")), "classes")
-
-    def full(classes: DataFrame, *columns: str) -> DataFrame:
-        """classes (c, id) with columns of one of their documents."""
-        same = F.col("f.c").eqNullSafe(F.col("i.c")) & F.col("f.doc_id").eqNullSafe(F.col("i.id"))
-        return base.select("doc_id", "c", *columns).alias("f").join(classes.alias("i"), same).select("i.*", *[f"f.{c}" for c in columns])
-
-    near = written(banded_pairs(full(ids, "bands")), "pairs")
-    links = probed(near, docs, ids, words, percent)
-    nearest = written(met_pairs(full(labelled(ids, links), "n", "short", "light", "parity"), percent, nearest=True), "pairs")
-    links = links.unionAll(probed(nearest, docs, ids, words, percent))
-    met = met_pairs(full(labelled(ids, links), "n", "short", "light", "parity"), percent)
-    candidates = written(sieved(met, full(ids, "n", "parity"), percent), "pairs")
-    links = links.unionAll(probed(candidates, docs, ids, words, percent))
-    groups = labelled(ids, links)
+    docs = _typed(docs)
+    base, classes, postings = classified(docs, words, percent)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return probed(written(sieved(pairs, classes, percent), "pairs"), docs, words, percent)
+
+    found = confirmed(banded_pairs(classes))
+    found = found.unionAll(confirmed(met_pairs(labelled(classes, found), int(postings), percent, nearest=True)))
+    found = found.unionAll(confirmed(met_pairs(labelled(classes, found), int(postings), percent)))
+    groups = written(labelled(classes.select("c", "id"), found), "groups")
     smallest = groups.groupBy("label").agg(F.min("id").alias("component_id"))
-    of = groups.join(smallest, "label").select(F.col("c").alias("__c"), "component_id", F.col("id").alias("class_id"))
-    out = base.select("doc_id", "n", "c").join(of, F.col("c") == F.col("__c"), "left")
+    of = written(groups.join(smallest, "label").select(F.col("c").alias("__c"), "component_id", F.col("id").alias("class_id")), "of")  # so that the join can split a hot class
+    out = base.join(of, F.col("c") == F.col("__c"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
