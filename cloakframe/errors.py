@@ -75,6 +75,10 @@ class Unprotected(ProtectionError):
         super().__init__(sites if isinstance(sites, str) else "; ".join(map(str, self.sites)))
 
 
+class ArrayTooLong(ProtectionError):
+    """An array to search for has too many elements."""
+
+
 class FpeDomain(ProtectionError):
     """Too few digits for format-preserving encryption."""
 

@@ -4,12 +4,39 @@ from __future__ import annotations
 
 import tomllib
 from dataclasses import dataclass, field, fields
+from typing import Protocol
+
+from pyspark.sql import Column
 
 from cloakframe.errors import PolicyError
 from cloakframe.functions.ident import MAX_BYTES, qualified, split_table
 from cloakframe.functions.mask import Mask
 
 TRANSFORMS = ("encrypt", "fpe", "token", "none")
+
+
+class FieldTransform(Protocol):
+    """A transform of one's own. inner and outer are the padded halves of the column's index key (functions.envelope.pads), as columns; the results are columns too."""
+
+    stored_type: str
+    readable: bool
+
+    def seal(self, plain: Column, inner: Column, outer: Column) -> Column: ...
+
+    def open(self, stored: Column, inner: Column, outer: Column) -> Column: ...
+
+
+#: Transforms that register_transform() added, by name.
+OWN: dict[str, FieldTransform] = {}
+
+
+def register_transform(name: str, transform: FieldTransform) -> None:
+    """Lets policies of this process name a transform of one's own; built-in names can't be taken."""
+    if name in TRANSFORMS or not name:
+        raise PolicyError(f"no transform can be called {name!r}")
+    OWN[name] = transform
+
+
 #: Stored type of each transform: bytes, text, or as it was.
 STORED = {"encrypt": "binary", "fpe": "string", "token": "string", "none": None}
 #: Stored values may have this many bytes unless a policy says otherwise.
@@ -24,6 +51,11 @@ class ColumnPolicy:
     searchable: bool = False
     detokenize: bool = True
     mask: Mask | None = None
+    key: str | None = None  #: the index key's name, if it isn't the column's: tokens of columns that share a key join
+
+    @property
+    def key_name(self) -> str:
+        return self.key or self.name
 
     @property
     def name(self) -> str:
@@ -32,11 +64,11 @@ class ColumnPolicy:
     @property
     def readable(self) -> bool:
         """Whether stored values can be turned back: not tokens, and digits only if the policy lets them."""
-        return self.transform in ("encrypt", "none") or (self.transform == "fpe" and self.detokenize)
+        return OWN[self.transform].readable if self.transform in OWN else self.transform in ("encrypt", "none") or (self.transform == "fpe" and self.detokenize)
 
     @property
     def stored_type(self) -> str | None:
-        return STORED[self.transform]
+        return OWN[self.transform].stored_type if self.transform in OWN else STORED[self.transform]
 
 
 @dataclass(frozen=True)
@@ -77,7 +109,7 @@ class Policy:
             self._check_table(t, seen)
 
     def _check_column(self, c: ColumnPolicy) -> None:
-        if c.transform not in TRANSFORMS:
+        if c.transform not in TRANSFORMS and c.transform not in OWN:
             raise PolicyError(f"{c.name}: no transform is called {c.transform}")
         if c.name in self.by_name:
             raise PolicyError(f"{c.name} is declared twice")
@@ -86,6 +118,8 @@ class Policy:
             raise PolicyError(f"{c.name}: only encrypted columns are searchable")
         if not c.detokenize and c.transform != "fpe":
             raise PolicyError(f"{c.name}: detokenize = false is for fpe only")
+        if c.key is not None and (not c.key or c.transform == "none" or (c.transform == "encrypt" and not c.searchable)):
+            raise PolicyError(f"{c.name}: a key's name is for columns with an index key")
         if c.transform == "none" and c.mask is None:
             raise PolicyError(f"{c.name}: without transform and mask nothing is protected")
         _check_identifiers(c.name, *split_table(c.table), c.column)

@@ -17,8 +17,8 @@ from cloakframe.functions import envelope as env, fpe
 from cloakframe.functions.ident import lookup_name
 from cloakframe.functions.mask import mask_binary, mask_text
 from cloakframe.functions.rowkey import kind_of, row_key
-from cloakframe.operators.policy import ColumnPolicy, Policy
-from cloakframe.sources.keys import Budget, KeySource, data_key_table, padded, secret_row
+from cloakframe.operators.policy import OWN, ColumnPolicy, Policy
+from cloakframe.sources.keys import Budget, Key, KeySource, data_key_table, padded, secret_row
 
 INDEX_PREFIX = "__bidx_"
 
@@ -36,6 +36,35 @@ def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def origins(df: DataFrame) -> list[tuple[int, int] | None]:
+    """Of each column of a result the leaf of its plan (an instance of a table) and the attribute there that it is, through projections and aliases; None if it is computed."""
+    plan, renamed, leaves = df._jdf.queryExecution().analyzed(), {}, {}
+
+    def walk(node) -> None:
+        kids = [node.children().apply(i) for i in range(node.children().size())]
+        if not kids:
+            for i in range(node.output().size()):
+                leaves[node.output().apply(i).exprId().id()] = len(leaves)
+            number[0] += 1
+            instance.update({k: number[0] for k in leaves if k not in instance})
+        for i in range(node.expressions().size()):
+            e = node.expressions().apply(i)
+            if e.getClass().getSimpleName() == "Alias" and e.child().getClass().getSimpleName() == "AttributeReference":
+                renamed[e.exprId().id()] = e.child().exprId().id()
+        for k in kids:
+            walk(k)
+
+    number, instance = [0], {}
+    walk(plan)
+    out: list[tuple[int, int] | None] = []
+    for i in range(plan.output().size()):
+        at = plan.output().apply(i).exprId().id()
+        while at in renamed:
+            at = renamed[at]
+        out.append((instance[at], at) if at in instance else None)
+    return out
+
+
 class Protector:
     def __init__(self, spark: SparkSession, policy: Policy, keys: KeySource, budget: Budget | None = None):
         self.spark, self.policy, self.keys, self.budget = spark, policy, keys, budget or Budget()
@@ -69,7 +98,7 @@ class Protector:
         c = self.column(name)
         if not c.searchable:
             return None
-        return env.hmac_bytes(self.keys.index_key(c.name), plain.encode() if isinstance(plain, str) else plain)
+        return env.hmac_bytes(self.keys.index_key(c.key_name), plain.encode() if isinstance(plain, str) else plain)
 
     # -- writing
 
@@ -77,25 +106,31 @@ class Protector:
         """df with the columns' padded index keys and, for sealing, the data key, from a broadcast row."""
         values: dict[str, bytes] = {}
         for c in columns:
-            if c.searchable or c.transform == "token":
-                values |= padded(_slot(c.name), self.keys.index_key(c.name))
+            if c.searchable or c.transform == "token" or c.transform in OWN:
+                values |= padded(_slot(c.name), self.keys.index_key(c.key_name))
         if sealing is not None:
             values |= {"__seal_id": sealing, "__seal_key": self.keys.key(sealing), "__seal_nonce": secrets.token_bytes(32)}
         return df.join(F.broadcast(secret_row(self.spark, values))) if values else df
 
-    def seal_df(self, df: DataFrame, table: str, with_index: bool = True, count: int | None = None, nonces: dict[str, Column] | None = None) -> DataFrame:
+    def _book(self, df: DataFrame, columns: int, count: int | None) -> bytes:
+        """The key to seal `columns` values of each row with, after its budget was booked: of all rows, or for a stream of all that the key has left."""
+        if count is None and df.isStreaming:
+            return self.budget.take_rest(self.keys)
+        return self.budget.take(self.keys, (df.count() if count is None else count) * columns)
+
+    def seal_df(self, df: DataFrame, table: str, with_index: bool = True, count: int | None = None, nonces: dict[str, Column] | None = None, only: set[str] | None = None) -> DataFrame:
         """df with the table's protected columns in stored form, tagged, and companions of searchable ones.
 
-        count: an upper bound of the rows, for the key's budget; they are counted if it is not given and the budget could matter. Sealed
-        data must be written, or checkpointed, before it is used twice: each evaluation has new nonces. nonces: for tests only."""
-        own = [c for c in self.policy.columns_of(table) if c.column in df.columns]
+        count: an upper bound of the rows, for the key's budget; if it is not given they are counted, without the columns that are sealed. Sealed
+        data must be written, or checkpointed, before it is used twice: each evaluation has new nonces. nonces: for tests only. only: the columns to seal; others are taken to be stored already."""
+        own = [c for c in self.policy.columns_of(table) if c.column in df.columns and (only is None or c.column in only)]
+        df = df.drop(*[index_column(c.column) for c in own])
         bound = self.policy.table_of(table)
         self._check_types(df, own)
         secret = [c for c in own if c.transform == "encrypt"]
         key_id = None
         if secret:
-            rows = count if count is not None else 0 if self.budget.limit == env.BUDGET else df.count()
-            key_id = self.budget.take(self.keys, rows * len(secret))
+            key_id = self._book(df, len(secret), count)
         row = None
         if bound and secret:
             if bound.row_key not in df.columns:
@@ -125,11 +160,67 @@ class Protector:
             elif c.transform == "token":
                 made.append(env.hmac_hex(plain, F.col(f"__in_{_slot(c.name)}"), F.col(f"__out_{_slot(c.name)}")).alias(name, metadata=tag))
             elif c.transform == "fpe":
-                made.append(fpe.seal_digits(self.spark, _quoted(name), self.keys.index_key(c.name)).alias(name, metadata=tag))
+                made.append(fpe.seal_digits(self.spark, _quoted(name), self.keys.index_key(c.key_name)).alias(name, metadata=tag))
+            elif c.transform in OWN:
+                made.append(OWN[c.transform].seal(plain, *self._halves(c)).alias(name, metadata=tag))
             else:
                 made.append(_quoted(name).alias(name, metadata=tag))
         return out.select(*made)
 
+    @staticmethod
+    def _halves(c: ColumnPolicy) -> tuple[Column, Column]:
+        return F.col(f"__in_{_slot(c.name)}"), F.col(f"__out_{_slot(c.name)}")
+
+    # -- single columns
+
+    def keyed(self, df: DataFrame, *names: str, rows: int | None = None) -> DataFrame:
+        """df with the secrets that seal_col() and open_col() of these columns need, in columns that begin with __; unkeyed() drops them. The budget is booked for one value a row of each."""
+        own = [self.column(n) for n in names]
+        secret = sum(c.transform == "encrypt" for c in own)
+        out = self._with_secrets(df, own, self._book(df, secret, rows) if secret else None)
+        if not secret:
+            return out
+        every = F.map_from_entries(F.collect_list(F.struct("__key_id", "__key"))).alias("__data_keys")
+        return out.join(F.broadcast(data_key_table(self.spark, self.keys.keys()).agg(every)))
+
+    @staticmethod
+    def unkeyed(df: DataFrame) -> DataFrame:
+        return df.drop(*[c for c in df.columns if c in ("__seal_id", "__seal_key", "__seal_nonce", "__data_keys") or c.startswith(("__in_", "__out_"))])
+
+    def _row(self, name: str, row: Column | None, kind: T.DataType | None) -> Column | None:
+        self.check_row(name, row is not None)
+        return None if row is None else row_key(row, kind_of(kind, self.policy.table_of(self.column(name).table).kind))
+
+    def seal_col(self, name: str, plain: Column, row: Column | None = None, row_type: T.DataType | None = None) -> Column:
+        """The stored form of one column, over rows of keyed(). row: the row key and its type, for columns that bind their row."""
+        c, at = self.column(name), self._row(name, row, row_type)
+        plain = plain.cast("binary")
+        if c.transform == "encrypt":
+            sealed = env.seal(plain, F.col("__seal_id"), F.col("__seal_key"), c.name, at, env.derived_nonce(F.col("__seal_nonce"), plain, at))
+            return env.with_index(env.blind_index(plain, *self._halves(c)), sealed) if c.searchable else sealed
+        if c.transform == "token":
+            return env.hmac_hex(plain, *self._halves(c))
+        if c.transform == "fpe":
+            return fpe.seal_digits(self.spark, plain.cast("string"), self.keys.index_key(c.key_name))
+        return OWN[c.transform].seal(plain, *self._halves(c)) if c.transform in OWN else plain
+
+    def open_col(self, name: str, stored: Column, row: Column | None = None, row_type: T.DataType | None = None) -> Column:
+        """The plain value of one column, over rows of keyed(); tokens are not readable."""
+        c, at = self.column(name), self._row(name, row, row_type)
+        if not c.readable:
+            raise E.NotReadable(c.name)
+        if c.transform == "encrypt":
+            bound = self.policy.table_of(c.table)
+            return env.open_(stored, F.col("__data_keys")[env.key_id_of(stored)], c.name, at, bool(bound and bound.strict_row_binding))
+        if c.transform == "fpe":
+            return fpe.open_digits(self.spark, stored, self.keys.index_key(c.key_name))
+        return OWN[c.transform].open(stored, *self._halves(c)) if c.transform in OWN else stored
+
+    def mask_col(self, name: str, plain: Column, binary: bool = False) -> Column:
+        """The masked form of a column's plain text (or bytes); as it is if the policy has no mask."""
+        c = self.column(name)
+        return plain if c.mask is None else (mask_binary if binary else mask_text)(plain, c.mask)
+
     @staticmethod
     def _check_types(df: DataFrame, own: list[ColumnPolicy]) -> None:
         for c in own:
@@ -157,15 +248,35 @@ class Protector:
     def _protected(self, df: DataFrame) -> dict[int, ColumnPolicy]:
         return {i: self.policy.by_name[f.metadata["protect"]] for i, f in enumerate(df.schema) if f.metadata.get("protect") in self.policy.by_name}
 
-    def _row_position(self, df: DataFrame, c: ColumnPolicy) -> int | None:
+    def _row_position(self, df: DataFrame, i: int, c: ColumnPolicy) -> int | None:
+        """The place of the row key that column i of the result was sealed with: where the result has the table's key more than once, that of the same instance of the table."""
         bound = self.policy.table_of(c.table)
         if bound is None:
             return None
-        at = [i for i, f in enumerate(df.schema) if f.metadata.get("protect_key") == bound.name]
-        if len(at) > 1:
-            raise E.AmbiguousRowKey(f"{bound.name}.{bound.row_key} is in the result {len(at)} times")
+        at = [k for k, f in enumerate(df.schema) if f.metadata.get("protect_key") == bound.name]
+        instances = origins(df) if len(at) > 1 or (at and self._instances(df, bound.name) > 1) else []
+        if instances:
+            if instances[i] is None or any(instances[k] is None for k in at):
+                if len(at) > 1:
+                    raise E.AmbiguousRowKey(f"{bound.name}.{bound.row_key} is in the result {len(at)} times")
+                raise E.AmbiguousRowInstance(f"{c.name} and {bound.row_key} may be of different instances of {bound.name}")
+            at = [k for k in at if instances[k][0] == instances[i][0]]
+            if len(at) > 1:
+                raise E.AmbiguousRowKey(f"{bound.name}.{bound.row_key} is in the result {len(at)} times")
         return at[0] if at else None
 
+    def _instances(self, df: DataFrame, table: str) -> int:
+        """How many protected columns of a table the result has of the most frequent one: over 1 if it joins the table with itself."""
+        names = [f.metadata["protect"] for f in df.schema if f.metadata.get("protect") in self.policy.by_name]
+        return max([0, *(names.count(n) for n in names if self.policy.table_of(self.policy.by_name[n].table) and self.policy.table_of(self.policy.by_name[n].table).name == table)])
+
+    def _keys_of(self, df: DataFrame, columns: list[str]) -> dict[bytes, Key]:
+        """The data keys that open stored columns: all of a source that has them all, else those that the values name (as many as there are keys)."""
+        if getattr(self.keys, "complete", True) or df.isStreaming or not columns:
+            return self.keys.keys()
+        named = df.select(F.explode(F.array(*[env.key_id_of(F.col(c)) for c in columns])).alias("id")).where("id IS NOT NULL").distinct()
+        return {i: self.keys.key(i) for i in (bytes(r["id"]) for r in named.collect())}
+
     def open_df(self, df: DataFrame, masked: bool = True, lenient: bool = True, quiet: bool = False, keys: list[bytes] | None = None) -> DataFrame:
         """df with its tagged columns opened and then masked; companions are dropped. Failed authentication, unknown keys and
         missing row keys raise when Spark evaluates the value. Encrypted text columns come back as binary unless their values were declared text.
@@ -177,11 +288,12 @@ class Protector:
             flat = df.toDF(*names)
         else:
             flat = df.select(*[_quoted(c).alias(n) for c, n in zip(df.columns, names, strict=True)])
-        all_keys = {i: self.keys.key(i) for i in keys} if keys is not None else self.keys.keys()
+        secret = [names[i] for i, c in found.items() if c.transform == "encrypt"]
+        all_keys = {i: self.keys.key(i) for i in keys} if keys is not None else self._keys_of(flat, secret)
         table = data_key_table(self.spark, all_keys)
-        out, made = flat, {}
+        out, made = self._with_secrets(flat, [c for c in found.values() if c.transform in OWN], None), {}
         for i, c in found.items():
-            at = self._row_position(df, c)
+            at = self._row_position(df, i, c) if c.transform == "encrypt" else None
             if c.transform == "encrypt":
                 out = out.withColumn(f"__id{i}", env.key_id_of(F.col(names[i])))
                 named = table.select(F.col("__key_id").alias(f"__k{i}"), F.col("__key").alias(f"__v{i}"))
@@ -194,12 +306,14 @@ class Protector:
                 large = F.octet_length(names[i]) > self.policy.max_protected_value_bytes
                 value = F.when(large, F.raise_error(F.lit("ProtectedValueTooLarge: a stored value exceeds the ceiling")).cast("binary")).otherwise(value)
             elif c.transform == "fpe" and c.readable:
-                value = fpe.open_digits(self.spark, F.col(names[i]), self.keys.index_key(c.name))
+                value = fpe.open_digits(self.spark, F.col(names[i]), self.keys.index_key(c.key_name))
                 if not lenient:
                     short = fpe.digits_in(F.col(names[i])) < fpe.LEAST_DIGITS
                     value = F.when(short, F.raise_error(F.lit(f"Unprotected: a value of {c.name} is not sealed")).cast("string")).otherwise(value)
             elif not c.readable and not lenient:
                 raise E.NotReadable(c.name)
+            elif c.transform in OWN and c.readable:
+                value = OWN[c.transform].open(F.col(names[i]), *self._halves(c))
             else:
                 value = F.col(names[i])
             if masked and c.mask is not None:

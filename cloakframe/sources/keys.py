@@ -58,6 +58,8 @@ def _hex(text: str, size: int, what: str) -> bytes:
 class MemoryKeys:
     """Keys in memory."""
 
+    complete = True  #: keys() has every key that a stored value can name
+
     active: bytes
     data: dict[bytes, Key] = field(repr=False)
     index: dict[str, Key] = field(repr=False, default_factory=dict)
@@ -131,8 +133,9 @@ class KeyStore(Protocol):
 
 class StoreKeys:
     """Keys from a shared store: index keys are minted on first use, by compare-and-set, and the winner of a race is adopted;
-    misses are remembered for a while, found keys for the session."""
+    misses are remembered for a while, found keys for the session. keys() has those found so far; the others are looked up by the ids that stored values name."""
 
+    complete = False
     MISS_SECONDS, MISSES = 60.0, 4096
 
     def __init__(self, store: KeyStore, clock=time.monotonic):
@@ -219,6 +222,12 @@ class Budget:
         self.used[key_id] = self.used.get(key_id, 0) + values
         return key_id
 
+    def take_rest(self, source: KeySource) -> bytes:
+        """Books all that the active key (or, if it has nothing left, a new one) may still seal."""
+        key_id = self.take(source, 1)
+        self.used[key_id] = self.limit
+        return key_id
+
 
 def data_key_table(spark: SparkSession, keys: dict[bytes, Key]) -> DataFrame:
     """__key_id and __key, one row per data key."""

@@ -3,24 +3,35 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+#: Folders of applications that run on this machine alone, by their id.
+_local: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='cloakframe-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     _made.append((spark, path))
     return path
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of this machine if Spark runs on it alone (tests), else an error: what
+    an executor of a cluster writes to its own disk is lost to the others."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or _local.get(spark.sparkContext.applicationId)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = _local[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='cloakframe-')}"
+        _made.append((spark, folder))
+    return folder.rstrip("/")
+
+
 def materialized(df: DataFrame, label: str) -> DataFrame:
     """df written once and read back; sealed data must go through this before it is used twice."""
     path = scratch_path(df.sparkSession, label)

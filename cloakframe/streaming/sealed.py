@@ -9,8 +9,9 @@ from cloakframe.operators.protector import Protector
 
 
 def seal_stream(protector: Protector, stream: DataFrame, table: str) -> DataFrame:
-    """A stream of plain rows as one of stored rows. Its rows can't be counted ahead, so the key's budget isn't booked here; roll keys by time."""
-    return protector.seal_df(stream, table, count=0)
+    """A stream of plain rows as one of stored rows. Its rows can't be counted ahead, so it books all that its key has left, and what is sealed after gets another key; a stream
+    that may seal more than that must be ended and started again, which gives it a new key."""
+    return protector.seal_df(stream, table)
 
 
 def open_stream(protector: Protector, stream: DataFrame, table: str) -> DataFrame:
