@@ -2,49 +2,28 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+from cloakframe.sources.scratch import scratch_path
+
 #: ASCII white space, as all contracts of this subpackage define words: [^\x20\x09-\x0D]+
 WHITE = r"[\x20\x09-\x0D]"
 NOT_WHITE = r"[^\x20\x09-\x0D]"
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='cloakframe-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        _written.append((spark, found))
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that this application deletes at its end."""
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = new_folder(spark, label)
+    path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     return out
@@ -57,21 +36,6 @@ def counted(df: DataFrame, label: str, n: Column | None = None) -> tuple[DataFra
     return out, seen.get["n"]
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            drop_folder(spark, path)
-        except Exception:  # noqa: BLE001  the session may be over
-            return
-
-
 def text_batches(spark: SparkSession) -> None:
     """Arrow batches for whole texts: fewer rows than Spark's default of 10000, unless the session has its own number."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -3,13 +3,13 @@
 Writing: a record ends with CR LF CR LF, which is the separator of Spark's text writer, so records of any content make valid WARC files
 on any file system Spark writes to (gzip over whole files). Every capture has a request, a response or revisit, and a metadata
 record; the first and the last name the second in WARC-Concurrent-To. Of equal payloads of at least `least` bytes, the one with the
-largest key is stored; the others are revisit records without payload that refer to it. Reading: files are bounded by
-records, read as binary and parsed by Content-Length, so a payload may hold any bytes of UTF-8. Assembly joins the three
-kinds by the identifiers and emits one nested row per capture.
+largest key is stored, under the record id <urn:capture:KEY>; the others are revisit records without payload that refer to it by that id. Other records' ids also hold the row's number at writing, which
+is the same each time that files are read. Reading: files are bounded by records and, through the longest payload, by bytes, read as binary and parsed once by Content-Length, so a payload may hold any bytes of UTF-8.
+Assembly brings the three kinds together by the identifiers in one shuffle and emits one nested row per capture.
 
 Defined results: a null payload is an empty one; null keys are the smallest and never referred to by others with keys; rows that tie for the
-largest key are all responses; repeated rows are captures of their own (record ids are made unique at writing); an empty
-table makes no captures.
+largest key are all responses, of which the first is referred to; repeated rows are captures of their own; a very long payload makes a file of its own; columns other than key, payload and uri are
+left out, whatever their names; an empty table makes no captures.
 """
 
 from __future__ import annotations
@@ -21,22 +21,27 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cloakframe.llm.common import new_folder, table, written
+from cloakframe.llm.common import table, written
+from cloakframe.sources.scratch import scratch_path
 
 LEAST_BYTES, RECORDS_A_FILE = 1000, 3000
+#: A file has at most so many bytes before it is compressed, or one record.
+FILE_BYTES = 1 << 28
 CRLF, END = "\r\n", "\r\n\r\n"
 SCHEMA = "warc_type string, record_id string, concurrent_to string, target_uri string, refers_to string, payload_digest string, x_key string, block_bytes long, block_sha1 string, profile string"
 
 
 def captures(rows: DataFrame, key: str, payload: str, uri: str, least: int = LEAST_BYTES) -> DataFrame:
-    """key, uri, payload, digest, n_bytes, refers_to (the stored capture's key, for those that revisit)."""
+    """key, uri, payload, at (the row's number), digest, n_bytes, refers_to (the stored capture's key, for those that revisit) and named (whether others refer to it)."""
     text = F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit(""))
     base = rows.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{uri}`").cast("string"), F.lit("")).alias("uri"), text.alias("payload"))
-    base = base.withColumns({"digest": F.sha1(F.col("payload").cast("binary")), "n_bytes": F.octet_length("payload").cast("long")})
+    base = base.withColumns({"digest": F.sha1(F.col("payload").cast("binary")), "n_bytes": F.octet_length("payload").cast("long"), "at": F.monotonically_increasing_id()})
     # counted without the payloads; the map holds digests that occur more than once only
-    stored = written(base.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.max("key").alias("__top"), F.count("*").alias("__n")).where("__n > 1 AND __top IS NOT NULL").drop("__n"), "stored")  # so that the join can split a hot digest
-    out = base.join(stored, "digest", "left")
-    return out.withColumn("refers_to", F.when(~F.col("key").eqNullSafe(F.col("__top")), F.col("__top"))).drop("__top")
+    same = base.where(F.col("n_bytes") >= least).groupBy("digest", "key").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    tops = same.groupBy("digest").agg(F.max(F.struct("key", "n", "at")).alias("__top"), F.sum("n").alias("__n")).where("__n > 1 AND __top.key IS NOT NULL").drop("__n")
+    out = base.join(written(tops, "stored"), "digest", "left")  # written, so that the join can split a hot digest
+    is_top = F.col("key").eqNullSafe(F.col("__top.key"))
+    return out.withColumns({"refers_to": F.when(~is_top, F.col("__top.key")), "named": F.coalesce(is_top & ((F.col("__top.n") == 1) | (F.col("at") == F.col("__top.at"))), F.lit(False)) & F.col("__top").isNotNull()}).drop("__top")
 
 
 def _record(kind: Column, rid: Column, extra: list[tuple[str, Column]], block: Column) -> Column:
@@ -48,23 +53,26 @@ def _record(kind: Column, rid: Column, extra: list[tuple[str, Column]], block: C
 
 def records(found: DataFrame) -> DataFrame:
     """One column `value`: three records of each capture, without their ends."""
-    at = found.withColumn("__at", F.monotonically_increasing_id())
-    rid = lambda part: F.concat(F.lit("<urn:capture:"), F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit(":"), F.col("__at").cast("string"), F.lit(f":{part}>"))
+    named = F.concat(F.lit("<urn:capture:"), F.col("key").cast("string"), F.lit(">"))
+    own = lambda part: F.concat(F.lit("<urn:capture:"), F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit(":"), F.col("at").cast("string"), F.lit(f":{part}>"))
+    rid = lambda part: F.when(F.col("named"), named).otherwise(own(part)) if part == "main" else own(part)
     revisit = F.col("refers_to").isNotNull()
     uri = ("WARC-Target-URI", F.regexp_replace("uri", r"[\r\n]", " "))
     key = ("X-Key", F.col("key").cast("string"))
     main = _record(
         F.when(revisit, "revisit").otherwise("response"), rid("main"),
-        [uri, key, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")), ("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<urn:capture:"), F.col("refers_to").cast("string"), F.lit(">"))))],
+        [uri, key, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")), ("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<urn:capture:"), F.col("refers_to").cast("string"), F.lit(">")))), ("Content-Type", F.when(~revisit, "text/html; charset=utf-8"))],
         F.when(revisit, "").otherwise(F.col("payload")),
     )
     to = ("WARC-Concurrent-To", rid("main"))
-    request = _record(F.lit("request"), rid("request"), [uri, to], F.concat(F.lit("GET "), uri[1], F.lit(" HTTP/1.1")))
-    metadata = _record(F.lit("metadata"), rid("metadata"), [uri, to], F.concat(F.lit("payload-bytes: "), F.col("n_bytes").cast("string")))
-    return at.select(F.explode(F.array(request, main, metadata)).alias("value"))
+    request = _record(F.lit("request"), rid("request"), [uri, to, ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), uri[1], F.lit(" HTTP/1.1")))
+    metadata = _record(F.lit("metadata"), rid("metadata"), [uri, to, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("payload-bytes: "), F.col("n_bytes").cast("string")))
+    return found.select(F.explode(F.array(request, main, metadata)).alias("value"))
 
 
 def write_archives(found: DataFrame, path: str, per_file: int = RECORDS_A_FILE) -> None:
+    most = found.select("n_bytes").agg(F.max("n_bytes")).first()[0] or 0
+    per_file = max(1, min(per_file, FILE_BYTES // (most + 4096)))
     records(found).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
@@ -103,16 +111,17 @@ def read_archives(spark: SparkSession, path: str, with_block: bool = False) -> D
 
 
 def assembled(read: DataFrame) -> DataFrame:
-    """One nested row per capture: key, main (response or revisit), request, metadata; missing parts are null."""
+    """One nested row per capture: key, main (response or revisit), request, metadata; missing parts are null. Archives are parsed once, and a capture's records meet in one group of three."""
     fields = [c for c in read.columns if c != "block"]
-    main = read.where("warc_type IN ('response', 'revisit')").select(F.col("record_id").alias("id"), F.struct(*fields).alias("main"))
-    request = read.where("warc_type = 'request'").select(F.col("concurrent_to").alias("id"), F.struct(*fields).alias("request"))
-    metadata = read.where("warc_type = 'metadata'").select(F.col("concurrent_to").alias("id"), F.struct(*fields, F.col("block").cast("string").alias("text")).alias("metadata"))
-    return main.join(request, "id", "left").join(metadata, "id", "left").select(F.col("main.x_key").cast("long").alias("key"), "main", "request", "metadata")
+    kind = F.when(F.col("warc_type").isin("response", "revisit"), "main").otherwise(F.col("warc_type"))
+    rows = read.select(F.coalesce("concurrent_to", "record_id").alias("id"), kind.alias("kind"), F.struct(*fields).alias("rec"), F.struct(*fields, F.col("block").cast("string").alias("text")).alias("noted"))
+    part = lambda name, what: F.first(F.when(F.col("kind") == name, F.col(what)), ignorenulls=True).alias(name)
+    whole = rows.groupBy("id").agg(part("main", "rec"), part("request", "rec"), part("metadata", "noted")).where("main IS NOT NULL")
+    return whole.select(F.col("main.x_key").cast("long").alias("key"), "main", "request", "metadata")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_folder(spark, "warc")
+    path = scratch_path(spark, "warc")
     write_archives(captures(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id", "html", "url"), path)
     return assembled(read_archives(spark, path)).select(
         F.col("key").alias("page_id"),
