@@ -1,8 +1,9 @@
 """Media columns: Netpbm and BMP images decoded to numpy arrays, area-resized by integral images, kept as NPY tiles with difference hashes.
 
 Defined results: a null image or one that can't be decoded gives a row with a null tile and a null hash; images of any
-size give a tile of the asked size (smaller images are enlarged by the same area rule). Columns of the input that
-clash with the columns added here are replaced; all others are kept. No step shuffles, so memory is one Arrow batch.
+size give a tile of the asked size (smaller images are enlarged by the same area rule). Netpbm samples are scaled to 255, or to 65535 if their maximum is over 255; bits of P1 and P4 stay 0 and 1.
+Columns of the input that clash with the columns added here are replaced; all others are kept; an empty table gives an empty one. No step shuffles, so memory is one Arrow batch;
+a very long text is one image.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cloakframe.llm.common import lean, slices, table, text_batches
+from cloakframe.llm.common import lean, slices, table, text_batches, written
 
 UNIT, TILE = 192, 16
 
@@ -38,8 +39,10 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     width, height, most = (*head, 1)[:3]
     channels = 3 if kind in (b"P3", b"P6") else 1
     n = width * height * channels
+    if not n or not 0 < most < 65536 or n > 8 * len(data):
+        raise ValueError("Netpbm size or maximum is wrong, or data is cut short")
     if kind in (b"P2", b"P3"):
-        out = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n], dtype=np.uint16)
+        out = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n], dtype=np.int64)
     elif kind == b"P1":
         out = 1 - np.frombuffer(re.sub(rb"#[^\n\r]*|\s", b"", data[at:])[:n], np.uint8) % 2
     elif kind == b"P4":
@@ -48,26 +51,42 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         out = 1 - np.unpackbits(rows, axis=1)[:, :width]
     else:
         out = np.frombuffer(data, np.uint8 if most < 256 else ">u2", n, at + 1)
-    if out.size != n or most > 65535:
-        raise ValueError("Netpbm data is cut short")
+    if out.size != n or out.min() < 0 or out.max() > most:
+        raise ValueError("Netpbm data is cut short or a sample exceeds the maximum")
+    full = 255 if most < 256 else 65535
+    if most not in (1, full) or (most == 1 and kind not in (b"P1", b"P4")):
+        out = (out.astype(np.int64) * full + most // 2) // most
     return out.astype(np.uint8 if most < 256 else np.uint16, copy=False).reshape(height, width, channels)
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits a pixel, either row order, as (height, width, 3) of uint8 in RGB."""
-    if data[:2] != b"BM" or len(data) < 54:
+    """Uncompressed BMP of 1, 4, 8, 16, 24 or 32 bits a pixel, with or without bit masks, either row order, old and new headers, as (height, width, 3) of uint8 in RGB."""
+    if data[:2] != b"BM" or len(data) < 26:
         raise ValueError("not BMP")
-    start, head, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if packed not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width <= 0 or not height:
+    start, head = struct.unpack_from("<II", data, 10)
+    old, packed = head == 12, 0
+    if old:
+        width, height, _, bits = struct.unpack_from("<HHHH", data, 18)
+    else:
+        width, height, _, bits, packed = struct.unpack_from("<iiHHI", data, 18)
+    if packed not in (0, 3) or bits not in (1, 4, 8, 16, 24, 32) or (packed == 3 and bits not in (16, 32)) or width <= 0 or not height:
         raise ValueError("BMP kind isn't handled")
     rows, stride = abs(height), (width * bits + 31) // 32 * 4
     raw = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)
     if height > 0:
         raw = raw[::-1]
+    if packed == 3 or bits == 16:
+        masks = struct.unpack_from("<III", data, 54) if packed == 3 else (0x7C00, 0x3E0, 0x1F)
+        pixels = np.ascontiguousarray(raw[:, : width * bits // 8]).view(f"<u{bits // 8}").astype(np.int64)
+        if not all(masks):
+            raise ValueError("a BMP mask is empty")
+        low = [(m & -m).bit_length() - 1 for m in masks]
+        return np.stack([(((pixels & m) >> k) * 255 + (m >> k) // 2) // (m >> k) for m, k in zip(masks, low, strict=True)], axis=2).astype(np.uint8)
     if bits >= 24:
         return np.ascontiguousarray(raw[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1])
-    colours = struct.unpack_from("<I", data, 46)[0] or 1 << bits
-    palette = np.frombuffer(data, np.uint8, 4 * colours, 14 + head).reshape(-1, 4)[:, 2::-1]
+    colours = 1 << bits if old else struct.unpack_from("<I", data, 46)[0] or 1 << bits
+    wide = 3 if old else 4
+    palette = np.frombuffer(data, np.uint8, wide * colours, 14 + head).reshape(-1, wide)[:, 2::-1]
     index = raw if bits == 8 else np.unpackbits(raw, axis=1) if bits == 1 else np.stack([raw >> 4, raw & 15], axis=2).reshape(rows, -1)
     return palette[index[:, :width]]
 
@@ -140,7 +159,7 @@ def tiles(df: DataFrame, image: str = "image", size: int = TILE) -> DataFrame:
                 try:
                     pixels = decode_image(bytes(data))
                     made.append((*pixels.shape[:2], tile_npy(pixels, size), f"{difference_hash(pixels):016x}"))
-                except (ValueError, TypeError, struct.error, IndexError):
+                except (ValueError, TypeError, struct.error, IndexError, ArithmeticError):
                     made.append((None,) * 4)
             cols = list(zip(*made, strict=True)) or [[]] * 4
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string())
@@ -165,28 +184,36 @@ def store_payload(payload: bytes) -> bytes:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Each whole text (null: empty) as UTF-8, padded with spaces to a positive multiple of 192 bytes, stored as an image's
-    samples, read back and described: equal texts give equal values. Rows are kept one for one, repeated ones too."""
+    """Each whole text (null: empty) as UTF-8, padded with spaces to a positive multiple of 192 bytes and stored as an image's samples in a table of images;
+    the images are read back, decoded and described, their NPY tiles are written, and the tiles' digests are taken from what was written. Equal texts give equal values.
+    Rows are kept one for one, repeated ones too."""
     text_batches(docs.sparkSession)
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_kind string, tile_bytes long"
 
-    def row(text: bytes) -> tuple:
-        payload = text + b" " * (UNIT - len(text) % UNIT if len(text) % UNIT or not text else 0)
-        stored = store_payload(payload)
-        pixels = decode_image(stored)
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 22):
+                texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column("text").cast(pa.binary())]
+                images = [store_payload(t + b" " * (UNIT - len(t) % UNIT if len(t) % UNIT or not t else 0)) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array(images, pa.binary())], names=["doc_id", "n_bytes", "image"])
+
+    images = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(store), "doc_id long, n_bytes long, image binary"), "images")
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, seen string, media_kind string, tile_npy binary"
+
+    def described(image: bytes) -> tuple:
+        pixels = decode_image(image)
         back = pixels.tobytes()
-        tile = tile_npy(pixels)
-        feature = f"{difference_hash(pixels):016x}-{pixels.shape[0]}x{pixels.shape[1]}-{hashlib.sha256(tile).hexdigest()[:16]}"
-        return len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, "bmp" if stored[:2] == b"BM" else stored[:2].decode(), len(tile)
+        seen = f"{difference_hash(pixels):016x}-{pixels.shape[0]}x{pixels.shape[1]}"
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(image), hashlib.sha256(image).hexdigest(), seen, "bmp" if image[:2] == b"BM" else image[:2].decode(), tile_npy(pixels)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 22):
-                made = [row((x.as_buffer().to_pybytes() if x.is_valid else b"")) for x in part.column("text").cast(pa.binary())]
-                cols = zip(*made, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x) for x in cols)], names=[x.split()[0] for x in schema.split(", ")])
+            for part in slices(batch, "image", 1 << 22):
+                cols = zip(*(described(x.as_buffer().to_pybytes()) for x in part.column("image")), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(x) for x in cols)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(work), schema)
+    tiled = written(images.mapInArrow(lean(work), schema), "tiles")
+    feature = F.concat_ws("-", "seen", F.substring(F.sha2("tile_npy", 256), 1, 16)).alias("feature")
+    return tiled.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature, "media_kind", F.octet_length("tile_npy").cast("long").alias("tile_bytes"))
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
