@@ -3,18 +3,18 @@
 Strings of `length` bytes must meet wherever they are, so texts are first cut into regions by content: of the hashes of all
 runs of about a third of `length` bytes inside a string, the smallest (the last of equals) is the string's anchor; strings with one anchor start side by side
 and make a region. Equal strings have equal anchors, so an anchor that occurs once can't repeat anything. The regions
-of the others, each distinct one once with the number of times it occurs, are dealt to shards by anchor. A shard's
+of the others, each distinct one once with the number of times it occurs, are dealt by anchor to shards, as many as their bytes need. A shard's
 regions are one text, sorted with common prefixes by `induced`; neighbours in that order that share `length` bytes are one
 string, which repeats if the regions that hold it occur more than once in all. Starts of repeated strings go back
 to the texts by region, and each text unites what they cover.
 
-Only the sorter's queues may be on disk: a shard's text, weights and types are held in memory, and the number of shards (8 for each
-shuffle partition) does not follow the input, so a task fails if its shard outgrows it. An anchor with over HOT distinct regions would not fit one
-task at any scale; its regions are cut into cells of 32 starts, dealt by 128-bit hashes of what a cell's strings have in common. Where cells of one
+The sorter's queues go to disk beyond BUDGET, in a temporary file of their task. A shard's text, weights, types and names are in memory, some 60 bytes for each of its own; shards have SHARD_BYTES on average
+and an anchor at most HOT regions there, of under 2 x `length` bytes each unless the text is periodic, so that is bounded however large the input is. The group of an anchor with over HOT distinct regions could outgrow any
+task; its regions are cut into cells of 32 starts, dealt by 128-bit hashes of what a cell's strings have in common. Where cells of one
 hash differ, their strings' own hashes are compared: together if they are few, else dealt one by one; all with partial sums.
 
 Defined results: a null text is empty; texts under `length` bytes never lose a byte; repeated rows are repeated texts, of
-which each loses what they share; rows are kept one for one, whatever their ids.
+which each loses what they share; rows are kept one for one, whatever their ids; very long texts are worked on whole; clashing columns are replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cloakframe.llm.common import lean, slices, table, text_batches, utf8_views, written
+from cloakframe.llm.common import counted, lean, slices, table, text_batches, utf8_views, written
 from cloakframe.llm.induced import repeated
 from cloakframe.llm.shingles import mix, powers, word_bounds
 
@@ -39,8 +39,8 @@ PART = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 #: Starts of a text that are looked at together; a longer text gives regions that end there.
 STRETCH = 1 << 23
-#: Bytes of queues that a sorter keeps in memory.
-BUDGET = 1 << 27
+#: Bytes of queues that a sorter keeps in memory; bytes of regions that a shard has on average.
+BUDGET, SHARD_BYTES = 1 << 27, 1 << 20
 
 
 def _totals(raw: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -290,14 +290,14 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, budget: int = BUDGET)
     candidates = written(every.join(twice, "h", "left_semi"), "candidates")
     groups = candidates.groupBy("h", "g1", "g2", "n").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "t", "len", "start")).alias("at"))
     groups = written(groups.select("h", "g1", "g2", "n", "m", "at.*"), "groups")
-    hot = groups.groupBy("h").agg((F.count("*") > HOT).alias("hot"))
-    data = written(region_bytes(docs, groups.join(hot, "h"), length), "bytes")
+    hot = written(groups.groupBy("h").agg((F.count("*") > HOT).alias("hot")), "hot")
+    data, size = counted(region_bytes(docs, groups.join(hot, "h"), length), "bytes", F.octet_length("data"))
     sort = _sorted_shard(length, budget)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from lean(sort)(batches)
 
-    cool = data.where("NOT hot").select(F.pmod(F.xxhash64("h"), F.lit(8 * tasks)).cast("int").alias("shard"), "g1", "g2", "m", "data")
+    cool = data.where("NOT hot").select(F.pmod(F.xxhash64("h"), F.lit(max(8 * tasks, size // SHARD_BYTES))).cast("int").alias("shard"), "g1", "g2", "m", "data")
     by_sorting = cool.groupBy("shard").applyInArrow(grouped, "g1 long, g2 long, first int, last int").select("g1", "g2", F.array(F.struct("first", "last")).alias("runs"))
     by_string = hot_runs(data.where("hot").select("g1", "g2", "m", "data"), length, 4 * tasks)
     runs = written(by_sorting.unionAll(by_string), "runs")
@@ -385,7 +385,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, with_text: bool = False,
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Besides the contract's columns text: what is left of each text."""
+    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=True)
 
 
 QUERIES = {"op4_suffix": op4_suffix}
