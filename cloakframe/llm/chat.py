@@ -7,7 +7,8 @@ the smallest conv_id stays. What remains is rendered.
 
 Defined results: null conv_ids are one conversation; null roles and texts equal only nulls and render as empty text;
 turns with equal numbers are ordered by role and text (nulls first), so repeated rows are repeated turns. Only counts and hashes of
-prefixes meet in a shuffle by hash, pre-aggregated; a conversation's own turns meet by conv_id.
+prefixes meet in a shuffle by hash, pre-aggregated; a conversation's own turns meet by conv_id, all turns without one too: give them ids first if there are many.
+Other columns are left out, whatever their names; very long texts are kept whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations

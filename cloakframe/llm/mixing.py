@@ -11,7 +11,8 @@ is taken more than `most` times. A document's place in its source is the order o
 
 Defined results: a null text has no words and is taken never; a null source is a source of its own, the last; repeated rows are
 documents of their own. Sums run over `3 hex digits` blocks of each source (4096), so that a source with a third of all rows
-is spread over as many groups; only sums meet in one task.
+is spread over as many groups; only sums meet in one task: a row for each source, which are to be few (thousands, not one a document).
+An empty table gives an empty one; very long texts are split into words whole; clashing columns are replaced.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ and covered documents leave before the next one. The list becomes one ordered co
 
 Defined results: a null text has no words; texts under MIN_WORDS words or with over MAX_REPEAT_PERCENT of their words in repeated windows fail the base rules.
 Labels with a null doc_id or quality are left out; if labels conflict or repeat, each counts; with no usable labels the list is empty and
-only base rules hold. Rows are kept one for one; no step shuffles texts.
+only base rules hold. Rows are kept one for one; no step shuffles texts; very long texts are worked on whole; clashing columns are replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -3,7 +3,8 @@
 Defined results: a null key is one key like any other; rows with equal keys share a shard, repeated rows keep one row
 each. Slots are gapless from 0 within a shard: rows are dealt to `blocks` blocks of each shard by a hash of the whole
 row, a block's first slot is the sum of the blocks before it (a table of at most shards x blocks rows), and rows are
-numbered inside their block. So no task ever holds a shard, and a hot key is spread over all blocks of its shard.
+numbered inside their block. So no task ever holds a shard, and the rows of a hot key are spread over all blocks of its shard as far as they differ; equal rows share a block, as only what
+is in a row may decide its slot. An empty table gives an empty one; very long values only matter by their hashes.
 """
 
 from __future__ import annotations
