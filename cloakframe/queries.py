@@ -60,10 +60,17 @@ def plain(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a file with fewer row groups than cores is read by as many tasks, and sealing is worth a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def sealed(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     """A table (or some of its columns) sealed and written."""
     df = plain(spark, sf, name)
-    return materialized(protector(spark).seal_df(df.select(*columns) if columns else df, name), name)
+    rows = df.count()
+    return materialized(protector(spark).seal_df(spread(df.select(*columns) if columns else df), name, count=rows), name)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -14,6 +14,11 @@ _made: list[tuple[SparkSession, str]] = []
 _local: dict[str, str] = {}
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     _made.append((spark, path))
@@ -43,7 +48,6 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
 def _clean() -> None:
     for spark, path in _made:
         try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            drop_path(spark, path)
         except Exception:  # noqa: BLE001  the session may be over
             return
