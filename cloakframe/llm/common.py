@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import functools
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from cloakframe.sources.scratch import scratch_path
+from cloakframe.sources.scratch import drop_path, scratch_path
 
 #: ASCII white space, as all contracts of this subpackage define words: [^\x20\x09-\x0D]+
 WHITE = r"[\x20\x09-\x0D]"
@@ -20,10 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and survives lost executors."""
+#: The paths of tables written in each passing() that is open.
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside, but for those with lasts=True, are deleted at the end: what is read later may not be made of them."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            drop_path(spark, path)
+
+
+def written(df: DataFrame, label: str, lasts: bool = False) -> DataFrame:
+    """df as a table in the shared folder: cuts lineage and survives lost executors. lasts: beyond the passing() that it is written in."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if len(_passing) > lasts:
+        _passing[-1 - lasts].append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     return out

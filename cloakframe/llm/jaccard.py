@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cloakframe.llm.common import counted, lean, slices, table, text_batches, utf8_views, written
+from cloakframe.llm.common import counted, lean, passing, slices, table, text_batches, utf8_views, written
 from cloakframe.llm.components import components
 from cloakframe.llm.shingles import mix, shingle_sets
 
@@ -452,6 +452,14 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 def joined(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id of every document (doc_id, text)."""
     docs = _typed(docs)
+    with passing(docs.sparkSession):
+        members, of = _grouped(docs, words, percent)
+    out = members.join(of, F.col("c") == F.col("__c"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, c of documents; __c, component_id, class_id of classes."""
     base, classes, postings = classified(docs, words, percent)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -462,9 +470,8 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     found = found.unionAll(confirmed(met_pairs(labelled(classes, found), int(postings), percent)))
     groups = written(labelled(classes.select("c", "id"), found), "groups")
     smallest = groups.groupBy("label").agg(F.min("id").alias("component_id"))
-    of = written(groups.join(smallest, "label").select(F.col("c").alias("__c"), "component_id", F.col("id").alias("class_id")), "of")  # so that the join can split a hot class
-    out = base.join(of, F.col("c") == F.col("__c"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    of = groups.join(smallest, "label").select(F.col("c").alias("__c"), "component_id", F.col("id").alias("class_id"))
+    return written(base, "members", lasts=True), written(of, "of", lasts=True)  # so that the join can split a hot class
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

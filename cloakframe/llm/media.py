@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cloakframe.llm.common import lean, slices, table, text_batches, written
+from cloakframe.llm.common import lean, passing, slices, table, text_batches, written
 
 UNIT, TILE = 192, 16
 
@@ -196,7 +196,7 @@ def text_media(docs: DataFrame) -> DataFrame:
                 images = [store_payload(t + b" " * (UNIT - len(t) % UNIT if len(t) % UNIT or not t else 0)) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array(images, pa.binary())], names=["doc_id", "n_bytes", "image"])
 
-    images = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(store), "doc_id long, n_bytes long, image binary"), "images")
+    stored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(store), "doc_id long, n_bytes long, image binary")
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, seen string, media_kind string, tile_npy binary"
 
     def described(image: bytes) -> tuple:
@@ -211,7 +211,8 @@ def text_media(docs: DataFrame) -> DataFrame:
                 cols = zip(*(described(x.as_buffer().to_pybytes()) for x in part.column("image")), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(x) for x in cols)], names=[x.split()[0] for x in schema.split(", ")])
 
-    tiled = written(images.mapInArrow(lean(work), schema), "tiles")
+    with passing(docs.sparkSession):
+        tiled = written(written(stored, "images").mapInArrow(lean(work), schema), "tiles", lasts=True)
     feature = F.concat_ws("-", "seen", F.substring(F.sha2("tile_npy", 256), 1, 16)).alias("feature")
     return tiled.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature, "media_kind", F.octet_length("tile_npy").cast("long").alias("tile_bytes"))
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cloakframe.llm.common import counted, lean, slices, table, text_batches, utf8_views, written
+from cloakframe.llm.common import counted, lean, passing, slices, table, text_batches, utf8_views, written
 from cloakframe.llm.induced import repeated
 from cloakframe.llm.shingles import mix, powers, word_bounds
 
@@ -352,10 +352,11 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, with_text: bool = False,
     others = [c for c in docs.columns if c not in (*names, "text")]
     base = docs.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     source = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranges = removed_ranges(source, length)
-    if words:
-        ranges = ranges.unionAll(repeated_words(source, words, length)).groupBy("t", "len").agg(F.flatten(F.collect_list("covers")).alias("covers"))
-    ranges = written(ranges, "ranges").alias("r")
+    with passing(docs.sparkSession):
+        ranges = removed_ranges(source, length)
+        if words:
+            ranges = ranges.unionAll(repeated_words(source, words, length)).groupBy("t", "len").agg(F.flatten(F.collect_list("covers")).alias("covers"))
+        ranges = written(ranges, "ranges", lasts=True).alias("r")
     keyed = base.select("*", *[k.alias(f"__{n}") for k, n in zip(text_key(), ("t", "len"), strict=True)])
     both = keyed.join(ranges, (F.col("__t") == F.col("r.t")) & (F.col("__len") == F.col("r.len")), "left").select(*[F.col(f"`{c}`") for c in others], "text", "covers")
     schema = ", ".join([*(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in others), *added])
