@@ -31,6 +31,8 @@ from cloakframe.llm.induced import repeated
 from cloakframe.llm.shingles import mix, powers, word_bounds
 
 LENGTH = 400
+#: Words of a passage.
+PASSAGE = 51
 #: An anchor with more distinct regions than this is dealt by string.
 HOT, CELL = 256, 32
 #: Cells of one key that are looked at together; those of a key with more are taken apart.
@@ -308,31 +310,81 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, budget: int = BUDGET)
     return places.join(packed, ["g1", "g2"]).select("t", "len", covers.alias("covers")).groupBy("t", "len").agg(F.flatten(F.collect_list("covers")).alias("covers"))
 
 
+def word_regions(raw: np.ndarray, off: np.ndarray, words: int, length: int) -> tuple[np.ndarray, ...]:
+    """Row, first byte (from the row's start), bytes, anchor hash and number of places of the anchor, of each region of runs of `words` words that have
+    under `length` bytes. A run's anchor is the smallest hash of the quarters of it that start at a word; neighbours with equal anchors are one region."""
+    start, end = word_bounds(raw, off)
+    n, gram = len(start) - words + 1, max(1, words // 4)
+    if n <= 0:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
+    row = np.searchsorted(off, start, side="right") - 1
+    ok = (row[:n] == row[words - 1 :]) & (end[words - 1 :] - start[:n] < length)
+    h = _run_hash(_totals(raw), start[: len(start) - gram + 1], end[gram - 1 :])
+    over = words - gram + 1
+    anchor = np.concatenate([_last_minimum(h[i : min(i + STRETCH, n) + over - 1], over) + i for i in range(0, n, STRETCH)])
+    value = h[anchor]
+    new = np.ones(n, bool)
+    new[1:] = (value[1:] != value[:-1]) | (row[1:n] != row[: n - 1]) | (ok[1:] != ok[:-1])
+    new[::STRETCH] = True
+    first = np.flatnonzero(new)
+    places = np.add.reduceat(np.append(True, anchor[1:] != anchor[:-1]).astype(np.int64) | new, first)
+    last = np.append(first[1:], n) - 1
+    keep = ok[first]
+    first, last, places = first[keep], last[keep], places[keep]
+    return row[first], start[first] - off[row[first]], end[last + words - 1] - start[first], value[first], places
+
+
 def repeated_words(docs: DataFrame, words: int, length: int) -> DataFrame:
-    """t, len and covers, as removed_ranges(), of runs of `words` whole words that have under `length` bytes and also start elsewhere."""
+    """t, len and covers, as removed_ranges(), of runs of `words` whole words that have under `length` bytes and also start elsewhere.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Regions by anchor as for strings of bytes: one that occurs twice repeats whole; where an anchor has several distinct regions their runs are compared by 128-bit
+    hashes, with partial sums, so that an anchor of very many regions is dealt over all tasks."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", PART):
                 raw, off = utf8_views(part.column("text"))
+                row, start, size, h, k = word_regions(raw, off, words, length)
+                view, at = memoryview(np.ascontiguousarray(raw)), off[row] + start
+                g = np.frombuffer(b"".join(hashlib.blake2b(view[x : x + y], digest_size=16).digest() for x, y in zip(at.tolist(), size.tolist(), strict=True)), np.int64).reshape(-1, 2)
+                where = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(where) for c in ("doc_id", "t", "len")), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(k.astype(np.int32)), pa.array(g[:, 0].copy()), pa.array(g[:, 1].copy())],
+                    names=["doc_id", "t", "len", "start", "n", "h", "k", "g1", "g2"],
+                )
+
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "data", PART):
+                raw, off = utf8_views(part.column("data"))
                 start, end = word_bounds(raw, off)
-                text = np.searchsorted(off, start, side="right") - 1
+                row = np.searchsorted(off, start, side="right") - 1
                 a, b = start[: max(0, len(start) - words + 1)], end[words - 1 :]
-                text, last = text[: len(a)], text[words - 1 :]
-                ok = (text == last) & (b - a < length)
-                a, b, text = a[ok], b[ok], text[ok]
+                same = row[: len(a)] == row[words - 1 :]
+                a, b, row = a[same], b[same], row[: len(a)][same]
                 view = memoryview(np.ascontiguousarray(raw))
-                g = np.frombuffer(b"".join(hashlib.blake2b(view[x:y], digest_size=16).digest() for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.int64).reshape(-1, 2)
-                where = pa.array(text)
+                w = np.frombuffer(b"".join(hashlib.blake2b(view[x:y], digest_size=16).digest() for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.int64).reshape(-1, 2)
+                where = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(where) for c in ("t", "len")), pa.array((a - off[text]).astype(np.int32)), pa.array((b - off[text]).astype(np.int32)), pa.array(g[:, 0].copy()), pa.array(g[:, 1].copy())],
-                    names=["t", "len", "a", "b", "g1", "g2"],
+                    [pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), *(part.column(c).take(where) for c in ("g1", "g2", "m")), pa.array((a - off[row]).astype(np.int32)), pa.array((b - off[row]).astype(np.int32))],
+                    names=["w1", "w2", "g1", "g2", "m", "a", "b"],
                 )
 
-    every = written(docs.select("text", *text_key()).mapInArrow(lean(work), "t long, len int, a int, b int, g1 long, g2 long"), "words")
-    twice = written(every.groupBy("g1", "g2").agg(F.count("*").alias("m")).where("m > 1").select("g1", "g2"), "twice")
-    places = every.join(twice, ["g1", "g2"], "left_semi").groupBy("t", "len", "a", "b").agg(F.lit(1).alias("one"))
-    return places.groupBy("t", "len").agg(F.collect_list(F.struct("a", "b")).alias("covers"))
+    every = written(docs.select("doc_id", "text", *text_key()).mapInArrow(lean(found), "doc_id long, t long, len int, start int, n int, h long, k int, g1 long, g2 long"), "word-regions")
+    twice = written(every.groupBy("h").agg(F.sum("k").alias("k")).where("k > 1").select("h"), "twice")
+    candidates = written(every.join(twice, "h", "left_semi"), "candidates")
+    groups = candidates.groupBy("h", "g1", "g2", "n").agg(F.count("*").alias("m"), F.max("k").alias("k"), F.min(F.struct("doc_id", "t", "len", "start")).alias("at"))
+    groups = written(groups.select("h", "g1", "g2", "n", "m", "k", "at.*", F.lit(False).alias("hot")), "groups")
+    mixed = written(groups.groupBy("h").agg(F.count("*").alias("groups"), F.max("k").alias("places")).where("groups > 1 OR places > 1").select("h"), "mixed")
+    # regions of m = 1 alone may repeat in part, but those of m > 1 are what they repeat
+    runs = written(region_bytes(docs, groups.join(mixed, "h", "left_semi"), 1).mapInArrow(lean(runs_of), "w1 long, w2 long, g1 long, g2 long, m long, a int, b int"), "runs")
+    again = written(runs.groupBy("w1", "w2").agg(F.sum("m").alias("m")).where("m > 1").select("w1", "w2"), "again")
+    partly = runs.where("m = 1").join(again, ["w1", "w2"], "left_semi").groupBy("g1", "g2").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    wholly = groups.where("m > 1").select("g1", "g2", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("runs"))
+    packed = written(partly.unionAll(wholly), "packed")
+    places = candidates.groupBy("t", "len", "start", "g1", "g2").agg(F.lit(1).alias("one"))
+    covers = F.transform("runs", lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"]).alias("b")))
+    return places.join(packed, ["g1", "g2"]).select("t", "len", covers.alias("covers")).groupBy("t", "len").agg(F.flatten(F.collect_list("covers")).alias("covers"))
 
 
 def _united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -343,41 +395,56 @@ def _united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)]
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, with_text: bool = False, words: int = 0) -> DataFrame:
+def _ranges(*lists: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs covered by the ranges of lists that may be null."""
+    known = [x.values for x in lists if x.is_valid and len(x.values)]
+    if not known:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return _united(*(np.concatenate([x.field(c).to_numpy().astype(np.int64) for x in known]) for c in ("a", "b")))
+
+
+def _left(one: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[bytes]:
+    return [one[x:y].tobytes() for x, y in zip(np.append(0, b), np.append(a, len(one)), strict=True)]
+
+
+def deduplicated(docs: DataFrame, length: int = LENGTH, with_text: bool = False, words: int = 0, from_text_alone: bool = False) -> DataFrame:
     """docs' other columns with n_bytes, n_removed, n_spans, kept_sha256 and, if asked, text: the remaining bytes (those that a cut leaves of
     a character, at its ends, are dropped from text). Clashing columns are replaced. words: runs of so many whole words that repeat go too,
-    if they have fewer bytes than `length`."""
+    if they have fewer bytes than `length`; from_text_alone: they go from text, and the other columns tell of strings of `length` bytes alone."""
     added = ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *["text string"] * with_text]
     names = [x.split()[0] for x in added]
     others = [c for c in docs.columns if c not in (*names, "text")]
     base = docs.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     source = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with passing(docs.sparkSession):
-        ranges = removed_ranges(source, length)
+        none = F.lit(None).cast("array<struct<a:int,b:int>>")
+        ranges = removed_ranges(source, length).withColumn("more", none)
         if words:
-            ranges = ranges.unionAll(repeated_words(source, words, length)).groupBy("t", "len").agg(F.flatten(F.collect_list("covers")).alias("covers"))
+            short = repeated_words(source, words, length)
+            short = short.select("t", "len", none.alias("covers"), F.col("covers").alias("more")) if from_text_alone else short.withColumn("more", none)
+            ranges = ranges.unionAll(short).groupBy("t", "len").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("covers", "more")))
         ranges = written(ranges, "ranges", lasts=True).alias("r")
     keyed = base.select("*", *[k.alias(f"__{n}") for k, n in zip(text_key(), ("t", "len"), strict=True)])
-    both = keyed.join(ranges, (F.col("__t") == F.col("r.t")) & (F.col("__len") == F.col("r.len")), "left").select(*[F.col(f"`{c}`") for c in others], "text", "covers")
+    both = keyed.join(ranges, (F.col("__t") == F.col("r.t")) & (F.col("__len") == F.col("r.len")), "left").select(*[F.col(f"`{c}`") for c in others], "text", "covers", "more")
     schema = ", ".join([*(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in others), *added])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 22):
                 raw, off = utf8_views(part.column("text"))
-                covers = part.column("covers")
+                covers, more = part.column("covers"), part.column("more")
                 rows = []
                 for i in range(part.num_rows):
                     one = raw[off[i] : off[i + 1]]
-                    keep, spans, gone = [one], 0, 0
-                    if covers[i].is_valid:
-                        items = covers[i].values
-                        a, b = _united(items.field("a").to_numpy().astype(np.int64), items.field("b").to_numpy().astype(np.int64))
-                        spans, gone = len(a), int((b - a).sum())
-                        keep = [one[x:y] for x, y in zip(np.append(0, b), np.append(a, len(one)), strict=True)]
-                    left = b"".join(x.tobytes() for x in keep)
-                    row = (len(one), gone, spans, hashlib.sha256(left).hexdigest())
-                    rows.append((*row, b"".join(x.tobytes().decode("utf-8", "ignore").encode() for x in keep).decode()) if with_text else row)
+                    a, b = _ranges(covers[i])
+                    keep, first = _left(one, a, b), (a, b)
+                    left = b"".join(keep)
+                    row = (len(one), int((b - a).sum()), len(a), hashlib.sha256(left).hexdigest())
+                    if with_text:
+                        a, b = _ranges(covers[i], more[i])
+                        keep = keep if len(a) == len(first[0]) and (a == first[0]).all() and (b == first[1]).all() else _left(one, a, b)
+                        row = (*row, b"".join(x.decode("utf-8", "ignore").encode() for x in keep).decode())
+                    rows.append(row)
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names=[*others, *names])
@@ -386,8 +453,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, with_text: bool = False,
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Besides the contract's columns text: what is left of each text."""
-    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=True)
+    """Besides the contract's columns text: what is left of each text without them and without passages of over 50 words that repeat in fewer bytes."""
+    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=True, words=PASSAGE, from_text_alone=True)
 
 
 QUERIES = {"op4_suffix": op4_suffix}

@@ -188,14 +188,56 @@ def test_removed(spark, monkeypatch, seed, hot, together, stretch):
     assert all(len(r["text"].encode()) <= r["n_bytes"] - r["n_removed"] for r in got)
 
 
+def brute_left(rows, length, words):
+    """What is left of each text without repeated strings of `length` bytes and repeated runs of so many whole words."""
+    data = [(t or "").encode() for _, t in rows]
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", b)] for b in data]
+    every = [{(i, i + length) for i in range(len(b) - length + 1)} | {(w[i][0], w[i + words - 1][1]) for i in range(len(w) - words + 1)} for b, w in zip(data, spans, strict=True)]
+    seen = Counter(b[x:y] for b, own in zip(data, every, strict=True) for x, y in own)
+    out = []
+    for (d, _), b, own in zip(rows, data, every, strict=True):
+        edges = [0] * (len(b) + 1)
+        for x, y in own:
+            if seen[b[x:y]] > 1:
+                edges[x] += 1
+                edges[y] -= 1
+        depth, kept, parts = 0, bytearray(), []
+        for i, x in enumerate(b):
+            depth += edges[i]
+            if depth:
+                parts, kept = (parts + [kept] if kept else parts), bytearray()
+            else:
+                kept.append(x)
+        out.append((d, b"".join(bytes(k) for k in [*parts, kept]).decode("utf-8", "ignore")))
+    return Counter(out)
+
+
 def test_removed_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
-    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.op4_suffix(spark, SF).collect())
-    assert got == brute_removed(rows, 400)
+    got = suffix.op4_suffix(spark, SF).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_removed(rows, 400)
+    left = brute_left(rows, 400, suffix.PASSAGE)
+    assert {r["doc_id"]: len(r["text"]) for r in got} == {d: len(t) for d, t in left}
+    assert sum(len(t) for _, t in left) < sum(r["n_bytes"] - r["n_removed"] for r in got)
     assert suffix.deduplicated(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("seed", "words", "stretch"), [(1, 6, 1 << 23), (2, 9, 1 << 23), (3, 6, 13)])
+def test_repeated_words(spark, monkeypatch, seed, words, stretch):
+    """Passages of few letters, so that anchors repeat by chance and within a region; texts cut into stretches."""
+    monkeypatch.setattr(suffix, "STRETCH", stretch)
+    length, rng = 40, random.Random(seed)
+    text = lambda n: "".join(rng.choice("ab") + rng.choice([" ", "  ", "\n", "c ", ""]) for _ in range(n))
+    shared = [text(rng.randint(8, 30)) for _ in range(4)]
+    rows = [None, "", " ", "a " * 30, text(200)] + ["".join(rng.choice(shared) if rng.random() < 0.4 else text(rng.randint(1, 20)) for _ in range(rng.randint(1, 5))) for _ in range(25)]
+    rows = [*enumerate([*rows, rows[4]]), (4, rows[4]), (7, rows[7]), (None, rows[9])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix.deduplicated(df, length, with_text=True, words=words, from_text_alone=True).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_removed(rows, length)
+    assert Counter((r["doc_id"], r["text"]) for r in got) == brute_left(rows, length, words)
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
