@@ -43,6 +43,8 @@ _PLACE = np.uint64((1 << 24) - 1)
 STRETCH = 1 << 23
 #: Bytes of queues that a sorter keeps in memory; bytes of regions that a shard has on average.
 BUDGET, SHARD_BYTES = 1 << 27, 1 << 20
+#: Bytes of hashes of word runs that are compared together, on average.
+RUN_BYTES = 1 << 22
 
 
 def _totals(raw: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -334,11 +336,44 @@ def word_regions(raw: np.ndarray, off: np.ndarray, words: int, length: int) -> t
     return row[first], start[first] - off[row[first]], end[last + words - 1] - start[first], value[first], places
 
 
+def _run_rows(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of regions with their runs' hashes: each run's row, hash, first and last byte."""
+    raw, off = utf8_views(rows.column("strings"))
+    row = np.repeat(np.arange(rows.num_rows), np.diff(off) // 16)
+    places = (rows.column(c).combine_chunks() if isinstance(rows, pa.Table) else rows.column(c) for c in ("a", "b"))
+    return row, np.frombuffer(raw.tobytes(), np.dtype([("a", "<i8"), ("b", "<i8")])), *(x.flatten().to_numpy() for x in places)
+
+
+def _compared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of regions that are looked at together, those runs of regions with m = 1 that another region has too, or the same one elsewhere."""
+    rows = pa.Table.from_batches(list(batches)).combine_chunks()
+    row, both, a, b = _run_rows(rows)
+    if not len(row):
+        return
+    m = rows.column("m").to_numpy()[row]
+    order = np.lexsort((both["b"], both["a"]))
+    ordered = both[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    repeats = np.zeros(len(row), bool)
+    repeats[order] = np.repeat(np.add.reduceat(m[order], first) > 1, np.diff(np.append(first, len(row))))
+    found = np.flatnonzero(repeats & (m == 1))
+    take = pa.array(row[found])
+    yield pa.RecordBatch.from_arrays([*(rows.column(c).take(take).combine_chunks() for c in ("g1", "g2")), pa.array(a[found]), pa.array(b[found])], names=["g1", "g2", "a", "b"])
+
+
+def _each_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Regions to single runs."""
+    for batch in batches:
+        row, both, a, b = _run_rows(batch)
+        take = pa.array(row)
+        yield pa.RecordBatch.from_arrays([pa.array(both["a"].copy()), pa.array(both["b"].copy()), *(batch.column(c).take(take) for c in ("g1", "g2", "m")), pa.array(a), pa.array(b)], names=["w1", "w2", "g1", "g2", "m", "a", "b"])
+
+
 def repeated_words(docs: DataFrame, words: int, length: int) -> DataFrame:
     """t, len and covers, as removed_ranges(), of runs of `words` whole words that have under `length` bytes and also start elsewhere.
 
     Regions by anchor as for strings of bytes: one that occurs twice repeats whole; where an anchor has several distinct regions their runs are compared by 128-bit
-    hashes, with partial sums, so that an anchor of very many regions is dealt over all tasks."""
+    hashes, in parts of about RUN_BYTES of them; those of an anchor with over TOGETHER regions are dealt one by one, with partial sums."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,23 +398,32 @@ def repeated_words(docs: DataFrame, words: int, length: int) -> DataFrame:
                 same = row[: len(a)] == row[words - 1 :]
                 a, b, row = a[same], b[same], row[: len(a)][same]
                 view = memoryview(np.ascontiguousarray(raw))
-                w = np.frombuffer(b"".join(hashlib.blake2b(view[x:y], digest_size=16).digest() for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.int64).reshape(-1, 2)
-                where = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), *(part.column(c).take(where) for c in ("g1", "g2", "m")), pa.array((a - off[row]).astype(np.int32)), pa.array((b - off[row]).astype(np.int32))],
-                    names=["w1", "w2", "g1", "g2", "m", "a", "b"],
-                )
+                w = b"".join(hashlib.blake2b(view[x:y], digest_size=16).digest() for x, y in zip(a.tolist(), b.tolist(), strict=True))
+                at = np.append(0, np.cumsum(np.bincount(row, minlength=part.num_rows))).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array((x - off[row]).astype(np.int32))) for x in (a, b)]
+                strings = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(at * np.int32(16)), pa.py_buffer(w)])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("h", "g1", "g2", "m", "hot")), strings, *lists], names=["h", "g1", "g2", "m", "hot", "strings", "a", "b"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from lean(_compared_runs)(batches)
 
     every = written(docs.select("doc_id", "text", *text_key()).mapInArrow(lean(found), "doc_id long, t long, len int, start int, n int, h long, k int, g1 long, g2 long"), "word-regions")
     twice = written(every.groupBy("h").agg(F.sum("k").alias("k")).where("k > 1").select("h"), "twice")
     candidates = written(every.join(twice, "h", "left_semi"), "candidates")
     groups = candidates.groupBy("h", "g1", "g2", "n").agg(F.count("*").alias("m"), F.max("k").alias("k"), F.min(F.struct("doc_id", "t", "len", "start")).alias("at"))
-    groups = written(groups.select("h", "g1", "g2", "n", "m", "k", "at.*", F.lit(False).alias("hot")), "groups")
-    mixed = written(groups.groupBy("h").agg(F.count("*").alias("groups"), F.max("k").alias("places")).where("groups > 1 OR places > 1").select("h"), "mixed")
+    groups = written(groups.select("h", "g1", "g2", "n", "m", "k", "at.*"), "groups")
+    mixed = groups.groupBy("h").agg(F.count("*").alias("groups"), F.max("k").alias("places")).where("groups > 1 OR places > 1")
+    mixed = written(mixed.select("h", (F.col("groups") > TOGETHER).alias("hot")), "mixed")
     # regions of m = 1 alone may repeat in part, but those of m > 1 are what they repeat
-    runs = written(region_bytes(docs, groups.join(mixed, "h", "left_semi"), 1).mapInArrow(lean(runs_of), "w1 long, w2 long, g1 long, g2 long, m long, a int, b int"), "runs")
-    again = written(runs.groupBy("w1", "w2").agg(F.sum("m").alias("m")).where("m > 1").select("w1", "w2"), "again")
-    partly = runs.where("m = 1").join(again, ["w1", "w2"], "left_semi").groupBy("g1", "g2").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    data = region_bytes(docs, groups.join(mixed, "h"), 1).mapInArrow(lean(runs_of), "h long, g1 long, g2 long, m long, hot boolean, strings binary, a array<int>, b array<int>")
+    data, size = counted(data, "runs", F.octet_length("strings"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64("h"), F.lit(max(4 * tasks, size // RUN_BYTES))).cast("int").alias("part")
+    few = data.where("NOT hot").select(part, "g1", "g2", "m", "strings", "a", "b").groupBy("part").applyInArrow(compared, "g1 long, g2 long, a int, b int")
+    runs = data.where("hot").mapInArrow(lean(_each_run), "w1 long, w2 long, g1 long, g2 long, m long, a int, b int")
+    again = runs.groupBy("w1", "w2").agg(F.sum("m").alias("m")).where("m > 1").select("w1", "w2")
+    many = runs.where("m = 1").join(again, ["w1", "w2"], "left_semi").select("g1", "g2", "a", "b")
+    partly = few.unionAll(many).groupBy("g1", "g2").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     wholly = groups.where("m > 1").select("g1", "g2", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("runs"))
     packed = written(partly.unionAll(wholly), "packed")
     places = candidates.groupBy("t", "len", "start", "g1", "g2").agg(F.lit(1).alias("one"))

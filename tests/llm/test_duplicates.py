@@ -223,10 +223,11 @@ def test_removed_tables(spark):
     assert suffix.deduplicated(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("seed", "words", "stretch"), [(1, 6, 1 << 23), (2, 9, 1 << 23), (3, 6, 13)])
-def test_repeated_words(spark, monkeypatch, seed, words, stretch):
+@pytest.mark.parametrize(("seed", "words", "stretch", "together"), [(1, 6, 1 << 23, 512), (2, 9, 1 << 23, 2), (3, 6, 13, 0)])
+def test_repeated_words(spark, monkeypatch, seed, words, stretch, together):
     """Passages of few letters, so that anchors repeat by chance and within a region; texts cut into stretches."""
     monkeypatch.setattr(suffix, "STRETCH", stretch)
+    monkeypatch.setattr(suffix, "TOGETHER", together)
     length, rng = 40, random.Random(seed)
     text = lambda n: "".join(rng.choice("ab") + rng.choice([" ", "  ", "\n", "c ", ""]) for _ in range(n))
     shared = [text(rng.randint(8, 30)) for _ in range(4)]
