@@ -38,7 +38,7 @@ from cloakframe.llm.shingles import mix, shingle_sets
 
 #: Levels of shingles and bitmaps of ids have 2^21 slots for inputs up to 4 GB, and grow with the input to at most 2^24 and 2^28. A slot is a shingle's or an id's first bits.
 SLOT_BITS, MOST_SLOTS, MOST_IDS, BUCKET = 21, 24, 28, 32768
-#: Local counts are taken over blocks of so many shingles; levels begin at these sums of local counts.
+#: A task counts blocks of so many shingles; levels begin at these numbers of documents.
 BLOCK, LEVELS = 1 << 21, (16, 64, 256, 1024, 4096, 16384, 65536, 1 << 20)
 #: Blocks of the lists of shingles of the two highest levels.
 SPLIT = {7: 4, 8: 16}
@@ -94,22 +94,39 @@ def _bitmaps(df: DataFrame, slot: str, bits: int, conditions: list[Column]) -> n
     return out
 
 
+def _summed(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, and the sum of each one's counts."""
+    order = np.argsort(values, kind="stable")
+    values, counts = values[order], counts[order]
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    return values[first], np.add.reduceat(counts, first)
+
+
 def shingle_levels(docs: DataFrame, words: int, bits: int = SLOT_BITS) -> np.ndarray:
-    """A level for each slot of shingles, from the counts over all documents of those that repeat within a block of a task."""
+    """A level for each slot of shingles, from the number of documents that each shingle is in, whichever tasks they are read by.
+
+    Shingles go by their first bits to parts, which count them by the 32 bits that follow: of a task's block those that it has once (`ones`),
+    and the others with their number (`many`), so that a part gets a very frequent one once from each block."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    high = min(bits, (4 * tasks - 1).bit_length())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def out() -> Iterator[pa.RecordBatch]:
             if held:
-                h = np.concatenate(held)
+                h = np.concatenate(held) >> np.uint64(32 - high)
                 held.clear()
                 h.sort()
                 first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-                n = np.diff(np.append(first, len(h)))
-                slot, at = np.unique((h[first[n > 1]] >> np.uint64(64 - bits)).astype(np.int64), return_inverse=True)
-                sums = np.bincount(at, weights=n[n > 1], minlength=len(slot)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(sums)], names=["slot", "n"])
+                n, h = np.diff(np.append(first, len(h))), h[first]
+                one, low = n == 1, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                ends = np.arange(1, (1 << high) + 1, dtype=np.uint64) << np.uint64(32)
+                many = np.stack([low[~one], n[~one].astype(np.uint32)], axis=1)
+                cut = [np.append(0, np.searchsorted(h[x], ends)).astype(np.int32) for x in (one, ~one)]
+                data = [pa.Array.from_buffers(pa.binary(), 1 << high, [None, pa.py_buffer(at * np.int32(wide)), pa.py_buffer(x.tobytes())]) for at, wide, x in zip(cut, (4, 8), (low[one], many), strict=True)]
+                some = pa.array((np.diff(cut[0]) > 0) | (np.diff(cut[1]) > 0))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(1 << high, dtype=np.int32)), *data], names=["part", "ones", "many"]).filter(some)
 
         size = 0
         for batch in batches:
@@ -122,7 +139,24 @@ def shingle_levels(docs: DataFrame, words: int, bits: int = SLOT_BITS) -> np.nda
                     size = 0
         yield from out()
 
-    counts = docs.select("text").mapInArrow(lean(work), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= LEVELS[0])
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones, many = [], []
+        for batch in batches:
+            at = batch.column("part")[0].as_py()
+            ones.append(np.frombuffer(utf8_views(batch.column("ones"))[0].tobytes(), np.uint32))
+            many.append(np.frombuffer(utf8_views(batch.column("many"))[0].tobytes(), np.uint32).reshape(-1, 2))
+        single, several = np.concatenate(ones), np.concatenate(many)
+        value, n = _summed(np.append(single, several[:, 0]), np.append(np.ones(len(single), np.int64), several[:, 1].astype(np.int64)))
+        value, n = value[n >= LEVELS[0]], n[n >= LEVELS[0]]
+        if len(value):
+            slot, n = _summed(((np.uint64(at) << np.uint64(32)) | value.astype(np.uint64)) >> np.uint64(32 + high - bits), n)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(n)], names=["slot", "n"])
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from lean(frequent)(batches)
+
+    dealt = docs.select("text").mapInArrow(lean(work), "part int, ones binary, many binary")
+    counts = dealt.groupBy("part").applyInArrow(grouped, "slot long, n long")
     return _bitmaps(counts, "slot", bits, [F.col("n") >= least for least in LEVELS]).sum(axis=0, dtype=np.uint8)
 
 

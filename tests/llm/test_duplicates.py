@@ -300,3 +300,9 @@ def test_pipeline_edges(spark, tmp_path):
             df = spark.read.parquet(path)
         assert df.count() == want
         corpus_pipeline.tokens(spark, corpus_pipeline.mixed_sources(spark, df, SF), SF).collect()
+
+
+def test_levels_do_not_depend_on_the_number_of_tasks(spark):
+    rows = [(i, f"each of these texts has this one sentence in it own {i} words {i} follow {i}") for i in range(40)]
+    one, many = (jaccard.shingle_levels(spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "doc_id long, text string"), 4) for n in (1, 40))
+    assert (one == many).all() and sorted(one[one > 0].tolist()) == [1] * 8
