@@ -12,8 +12,10 @@ The order decides only how much work there is, never the result. Texts with equa
 
 joined() needs components only, so it leaves out pairs that are known to be connected. A first round links classes that agree in a band of minimum hashes to one
 class of each band, and a second one each class with its nearest one in each list of a frequent shingle, by bitmaps of parities, as far as the exact overlap
-confirms it; lists then give pairs between different components of those links only. The result is whole: every pair of classes in different components that can
-reach t is probed. A list of a very frequent shingle is dealt as pairs of blocks of it, to many tasks. links() leaves nothing out and gives every pair.
+confirms it; lists then give pairs between different components of those links only. Pairs of near copies that meet in lists of shared shingles (of SHARED documents or more) are never rows: a part gives
+a spanning forest of them, the components of all forests are groups, and a group's lists are looked up, merged and probed once more in cells (a block of its classes, or two), each with all lists and whole sets of its
+classes, that give spanning links. The result is whole: every pair of classes in different components that can reach t meets in the short lists of shingles that are not shared often enough, or is in
+a cell. A list of a very frequent shingle is dealt as pairs of blocks of it, to many tasks. links() leaves nothing out and gives every pair.
 
 Defined results: null texts and texts without words have empty sets, link with nothing and are components of their own; rows that repeat
 or share a doc_id keep one row each; null doc_ids are never a component's smallest unless all are null; very long texts are worked on whole, one by one; an empty
@@ -33,27 +35,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cloakframe.llm.common import counted, lean, passing, slices, table, text_batches, utf8_views, written
-from cloakframe.llm.components import components
+from cloakframe.llm.components import components, roots
 from cloakframe.llm.shingles import mix, shingle_sets
 
 #: Levels of shingles and bitmaps of ids have 2^21 slots for inputs up to 4 GB, and grow with the input to at most 2^24 and 2^28. A slot is a shingle's or an id's first bits.
 SLOT_BITS, MOST_SLOTS, MOST_IDS, BUCKET = 21, 24, 28, 32768
 #: A task counts blocks of so many shingles; levels begin at these numbers of documents.
 BLOCK, LEVELS = 1 << 21, (16, 64, 256, 1024, 4096, 16384, 65536, 1 << 20)
+#: Shingles of so many documents are shared, of a level or not. Their bitmap has 2^23 slots for inputs up to 4 GB, and grows to at most 2^28.
+SHARED, SHARED_BITS, MOST_SHARED = 4, 23, 28
 #: Blocks of the lists of shingles of the two highest levels.
 SPLIT = {7: 4, 8: 16}
 BANDS, ROWS = 8, 3
 #: Bits of a set's parity.
 PARITY = 1024
 PART = 1 << 18
-#: Postings that a part of the index has on average, and pairs that are looked at together in it.
-PART_POSTINGS, TOGETHER = 1 << 17, 1 << 18
+#: Postings that a part of the index has on average (at least, unless there would be fewer parts than partitions, and at most), and pairs that are looked at together in it.
+LEAST_POSTINGS, PART_POSTINGS, TOGETHER = 1 << 12, 1 << 17, 1 << 18
+#: Shingles that a block of a group's classes has on average.
+GROUP_BLOCK = 1 << 17
 #: h: the list (a shingle, or a pair of blocks of its list); side: 1 and 2 in a pair of different blocks, else 0.
 POSTING = np.dtype([("h", "<u8"), ("c", "<i8"), ("label", "<i8"), ("n", "<i4"), ("place", "<u4"), ("side", "u1")])
-#: In lists of shingles that have a level, postings carry the parity, so that long lists are sieved where they are merged.
+#: In lists of shared shingles, postings carry the parity, so that all but the shortest lists are sieved where they are merged.
 HEAVY = np.dtype([*POSTING.descr, ("parity", f"V{PARITY // 8}")])
 _ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _NONE = 1 << 30
+#: What lists give: all pairs that meet in them, only each class's nearest one, or a spanning forest of the pairs.
+ALL, NEAREST, FOREST = "all", "nearest", "forest"
 
 
 def least_overlap(n: np.ndarray | int, m: np.ndarray | int, percent: int):
@@ -70,10 +78,10 @@ def short_lists(n: int, percent: int) -> int:
     return min(n, n - -(-percent * n // 100) + extra(n))
 
 
-def slot_bits(docs: DataFrame, most: int) -> int:
-    """Bits of slots for an input of this size, as the optimizer estimates it (at or over 2^60 bytes it has no idea): one slot for 2 KB."""
+def slot_bits(docs: DataFrame, most: int, least: int = SLOT_BITS) -> int:
+    """Bits of slots for an input of this size, as the optimizer estimates it (at or over 2^60 bytes it has no idea): one slot for 2 KB (if least is SLOT_BITS)."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(most, max(SLOT_BITS, (size >> 11).bit_length())) if size < 1 << 60 else SLOT_BITS
+    return min(most, max(least, (size >> 11 + SLOT_BITS - least).bit_length())) if size < 1 << 60 else least
 
 
 def _bits(df: DataFrame, slot: str, bits: int = SLOT_BITS) -> np.ndarray:
@@ -102,13 +110,13 @@ def _summed(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return values[first], np.add.reduceat(counts, first)
 
 
-def shingle_levels(docs: DataFrame, words: int, bits: int = SLOT_BITS) -> np.ndarray:
-    """A level for each slot of shingles, from the number of documents that each shingle is in, whichever tasks they are read by.
+def shingle_counts(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """slot, n: the number of documents that the shared shingles of each slot are in, whichever tasks they are read by.
 
     Shingles go by their first bits to parts, which count them by the 32 bits that follow: of a task's block those that it has once (`ones`),
     and the others with their number (`many`), so that a part gets a very frequent one once from each block."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    high = min(bits, (4 * tasks - 1).bit_length())
+    high, least = min(bits, (4 * tasks - 1).bit_length()), min(SHARED, LEVELS[0])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -147,7 +155,7 @@ def shingle_levels(docs: DataFrame, words: int, bits: int = SLOT_BITS) -> np.nda
             many.append(np.frombuffer(utf8_views(batch.column("many"))[0].tobytes(), np.uint32).reshape(-1, 2))
         single, several = np.concatenate(ones), np.concatenate(many)
         value, n = _summed(np.append(single, several[:, 0]), np.append(np.ones(len(single), np.int64), several[:, 1].astype(np.int64)))
-        value, n = value[n >= LEVELS[0]], n[n >= LEVELS[0]]
+        value, n = value[n >= least], n[n >= least]
         if len(value):
             slot, n = _summed(((np.uint64(at) << np.uint64(32)) | value.astype(np.uint64)) >> np.uint64(32 + high - bits), n)
             yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(n)], names=["slot", "n"])
@@ -156,22 +164,32 @@ def shingle_levels(docs: DataFrame, words: int, bits: int = SLOT_BITS) -> np.nda
         yield from lean(frequent)(batches)
 
     dealt = docs.select("text").mapInArrow(lean(work), "part int, ones binary, many binary")
-    counts = dealt.groupBy("part").applyInArrow(grouped, "slot long, n long")
+    return dealt.groupBy("part").applyInArrow(grouped, "slot long, n long")
+
+
+def levels_of(counts: DataFrame, bits: int) -> np.ndarray:
+    """A level for each slot of shingles, from shingle_counts() of so many bits or more."""
     return _bitmaps(counts, "slot", bits, [F.col("n") >= least for least in LEVELS]).sum(axis=0, dtype=np.uint8)
 
 
+def shingle_levels(docs: DataFrame, words: int, bits: int = SLOT_BITS) -> np.ndarray:
+    return levels_of(shingle_counts(docs, words, bits), bits)
+
+
 def class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def sketched(docs: DataFrame, words: int, percent: int, level: np.ndarray) -> DataFrame:
-    """doc_id, n, c (class: hash of the set), bands, short (the short lists' shingles; the first `light` have no level), heavy (the levels of the others) and
-    parity of every document; c is null for empty sets."""
+def sketched(docs: DataFrame, words: int, percent: int, level: np.ndarray, shared: np.ndarray | None = None) -> DataFrame:
+    """doc_id, n, c (class: hash of the set), bands, short (the short lists' shingles; the first `light` are not shared), heavy (the levels of the others, 0 for none) and
+    parity of every document; c is null for empty sets. shared: a bitmap of slots."""
     schema = "doc_id long, n long, c long, bands array<long>, short binary, light int, heavy binary, parity array<long>"
     levels, bits = docs.sparkSession.sparkContext.broadcast(level), len(level).bit_length() - 1
+    shared = np.zeros(1, np.uint8) if shared is None else np.packbits(shared, bitorder="little")
+    sharing, fine = docs.sparkSession.sparkContext.broadcast(shared), (8 * len(shared)).bit_length() - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lev = levels.value
+        lev, some = levels.value, sharing.value
         for batch in batches:
             for part in slices(batch, "text", PART):
                 n, c, bands, short, light, heavy, parity = [], [], [], [], [], [], []
@@ -186,8 +204,10 @@ def sketched(docs: DataFrame, words: int, percent: int, level: np.ndarray) -> Da
                     bands.append(key.view(np.int64))
                     parity.append(np.packbits(np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).view(np.int64))
                     of = lev[(s >> np.uint64(64 - bits)).astype(np.int64)]
-                    order = np.argsort(of, kind="stable")[: short_lists(len(s), percent)]
-                    few = int((of[order] == 0).sum())
+                    at = (s >> np.uint64(64 - fine)).astype(np.int64)
+                    often = np.where(of > 0, of + 1, (some[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                    order = np.argsort(often, kind="stable")[: short_lists(len(s), percent)]
+                    few = int((often[order] == 0).sum())
                     short.append(s[order].tobytes()), light.append(few), heavy.append(of[order[few:]].tobytes())
                 cols = [pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary()), pa.array(light, pa.int32()), pa.array(heavy, pa.binary()), pa.array(parity, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], names=["doc_id", "n", "c", "bands", "short", "light", "heavy", "parity"])
@@ -214,10 +234,20 @@ def whole_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     return docs.select("text", slot("doc_id")).mapInArrow(lean(work), "c long, whole binary").groupBy("c").agg(F.first("whole").alias("whole"))
 
 
-def probed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of candidate pairs (x, y of classes; xid, yid: a document of each), those that are linked, as u and v."""
-    needed = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("c"), F.col("xid").alias("id")), F.struct(F.col("y").alias("c"), F.col("yid").alias("id")))).alias("s")).select("s.c", "s.id")
-    sets = written(whole_sets(docs, needed, words), "sets")
+def ends(pairs: DataFrame) -> DataFrame:
+    """c and id of both classes of each pair (x, y, xid, yid)."""
+    return pairs.select(F.explode(F.array(F.struct(F.col("x").alias("c"), F.col("xid").alias("id")), F.struct(F.col("y").alias("c"), F.col("yid").alias("id")))).alias("s")).select("s.c", "s.id")
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements of the smaller set a binary search finds in the larger one."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+
+
+def probed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of candidate pairs (x, y of classes), those that are linked, as u and v. sets: c and whole of all their classes."""
     both = pairs.join(sets.select(F.col("c").alias("x"), F.col("whole").alias("wx")), "x").join(sets.select(F.col("c").alias("y"), F.col("whole").alias("wy")), "y")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,9 +255,7 @@ def probed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
             keep = []
             for p, q in zip(batch.column("wx"), batch.column("wy"), strict=True):
                 a, b = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                a, b = (a, b) if len(a) <= len(b) else (b, a)
-                at = np.searchsorted(b, a)
-                shared = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+                shared = overlap(a, b)
                 keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
@@ -271,7 +299,7 @@ def in_blocks(rows: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 def _deal(parts: int, heavy_only: bool = False):
-    """Postings of a task as one record array for each part of the lists (and another for lists of shingles with a level)."""
+    """Postings of a task as one record array for each part of the lists (and another for lists of shared shingles). heavy_only: none but lists of shingles with a level."""
 
     def dealt(held: list[np.ndarray], heavy: bool) -> Iterator[pa.RecordBatch]:
         if not held:
@@ -291,15 +319,17 @@ def _deal(parts: int, heavy_only: bool = False):
         for batch in batches:
             parities = batch.column("parity").flatten().to_numpy().reshape(-1, PARITY // 64)
             for i, (c, label, n, short, light, level) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("c", "label", "n", "short", "light", "heavy")), strict=True)):
-                h = np.frombuffer(short, np.uint64)
-                for heavy, own in ((0, h[:light]), (1, h[light:])):
+                h, level = np.frombuffer(short, np.uint64), np.frombuffer(level, np.uint8)
+                skip = light + int((level == 0).sum()) if heavy_only else light  # levels ascend
+                level = level[skip - light :]
+                for heavy, own in ((0, h[:light]), (1, h[skip:])):
                     if len(own) and heavy >= heavy_only:
                         rows = np.zeros(len(own), HEAVY if heavy else POSTING)
                         rows["h"], rows["c"], rows["label"], rows["n"] = own, c, label, n
-                        rows["place"] = np.arange(len(own)) + light * heavy
+                        rows["place"] = np.arange(len(own)) + skip * heavy
                         if heavy:
                             rows["parity"] = np.frombuffer(parities[i].tobytes(), HEAVY["parity"])[0]
-                            rows = in_blocks(rows, np.frombuffer(level, np.uint8))
+                            rows = in_blocks(rows, level)
                         held[heavy].append(rows)
                         size += len(rows) * (1 + 4 * heavy)
                 if size >= 1 << 19:
@@ -319,9 +349,9 @@ def heap_merged(runs: list[list[int]]) -> Iterator[tuple[int, int]]:
     return ((y, sum(1 for _ in same)) for y, same in groupby(heapq.merge(*runs)))
 
 
-def _looked_up(rows: np.ndarray, percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+def _looked_up(rows: np.ndarray, percent: int, give: str) -> Iterator[pa.RecordBatch]:
     """Pairs that meet in some lists that are short for both, with how often: across labels only, of sizes that fit and, where postings
-    have one, of parities that fit. nearest: of each posting only the pair whose parities are apart least.
+    have one, of parities that fit. NEAREST: of each posting only the pair whose parities are apart least. FOREST: stars that connect what the pairs do, with 0 for how often.
 
     Sets are ranked by size, and lists ascend by rank; a set looks up, in each of its lists, what comes before it and is not too small."""
     if not len(rows):
@@ -350,6 +380,7 @@ def _looked_up(rows: np.ndarray, percent: int, nearest: bool) -> Iterator[pa.Rec
     ends = np.cumsum((hi - lo)[probing])
     close, partner = np.full(len(rows), _NONE), np.zeros(len(rows), np.int64)
     found: list[list] = [[], [], []]
+    tree = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def out() -> Iterator[pa.RecordBatch]:
         x, y, n = (np.array(c, np.int64) for c in found)
@@ -374,7 +405,11 @@ def _looked_up(rows: np.ndarray, percent: int, nearest: bool) -> Iterator[pa.Rec
             p, q, a, b, apart = p[ok], q[ok], a[ok], b[ok], apart[ok]
         if not len(p):
             continue
-        if nearest:
+        if give == FOREST:
+            node, root = roots(np.append(tree[0], a), np.append(tree[1], b))
+            tree = node[node != root], root[node != root]
+            continue
+        if give == NEAREST:
             for at, other in ((p, q), (q, p)):
                 best = np.lexsort((apart, at))
                 best = best[np.append(True, at[best][1:] != at[best][:-1])]
@@ -393,7 +428,10 @@ def _looked_up(rows: np.ndarray, percent: int, nearest: bool) -> Iterator[pa.Rec
             k = m
         if len(found[0]) >= 1 << 16:
             yield from out()
-    if nearest:
+    if give == FOREST:
+        x, y = tree
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[x], ids[y], size[x], size[y], np.zeros(len(x), np.int64))], names=["x", "y", "nx", "ny", "k"])
+    elif give == NEAREST:
         p = np.flatnonzero(close < _NONE)
         a, b = rank[p], rank[partner[p]]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
@@ -403,38 +441,122 @@ def _looked_up(rows: np.ndarray, percent: int, nearest: bool) -> Iterator[pa.Rec
         yield from out()
 
 
-def _meetings(percent: int, nearest: bool = False):
-    """The lists of one part, looked up."""
+def _meetings(percent: int, give: str):
+    """The lists of one part, looked up; those of shingles that are not shared have three postings at most, so they give all their pairs instead of a forest."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, list[np.ndarray]] = {False: [], True: []}
         for b in batches:
             for x, heavy in zip(b.column("rows"), b.column("heavy").to_pylist(), strict=True):
                 held[heavy].append(_unpacked(x.as_buffer(), HEAVY if heavy else POSTING))
-        for rows in held.values():
+        for heavy, rows in held.items():
             if rows:
-                yield from _looked_up(np.concatenate(rows), percent, nearest)
+                yield from _looked_up(np.concatenate(rows), percent, ALL if give == FOREST and not heavy else give)
 
     return work
 
 
-def met_pairs(classes: DataFrame, postings: int, percent: int, nearest: bool = False) -> DataFrame:
-    """Candidate pairs (x, y): classes (c, label, n, short, light, heavy, parity) of different labels that meet in enough short lists. postings: how many
-    there are in all. nearest: only each class's nearest one in each list of a shingle that has a level."""
+def _met(classes: DataFrame, postings: int, percent: int, give: str) -> DataFrame:
+    """x, y, nx, ny, k: what the lists of classes (c, label, n, short, light, heavy, parity) of different labels give, part by part. postings: how many there are in all."""
     tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(16 * tasks, postings // PART_POSTINGS)
-    dealt = classes.select("c", "label", "n", "short", "light", "heavy", "parity").mapInArrow(lean(_deal(parts, nearest)), "part int, rows binary, heavy boolean")
-    meet = _meetings(percent, nearest)
+    parts = max(tasks, min(16 * tasks, postings // LEAST_POSTINGS), postings // PART_POSTINGS)
+    dealt = classes.select("c", "label", "n", "short", "light", "heavy", "parity").mapInArrow(lean(_deal(parts, give == NEAREST)), "part int, rows binary, heavy boolean")
+    meet = _meetings(percent, give)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from lean(meet)(batches)
 
-    met = dealt.groupBy("part").applyInArrow(grouped, "x long, y long, nx long, ny long, k long")
-    if nearest:
-        return met.select("x", "y").distinct()
+    return dealt.groupBy("part").applyInArrow(grouped, "x long, y long, nx long, ny long, k long")
+
+
+def _often(met: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("x", "y", "nx", "ny").agg(F.sum("k").alias("k")).where(F.col("k") >= needed_meetings("nx", "ny", percent)).select("x", "y")
 
 
+def met_pairs(classes: DataFrame, postings: int, percent: int) -> DataFrame:
+    """Every candidate pair (x, y) of classes of different labels: those that meet in enough short lists."""
+    return _often(_met(classes, postings, percent, ALL), percent)
+
+
+def nearest_pairs(classes: DataFrame, postings: int, percent: int) -> DataFrame:
+    """Only each class's nearest one in each list of a shingle that has a level."""
+    return _met(classes, postings, percent, NEAREST).select("x", "y").distinct()
+
+
+def met_groups(classes: DataFrame, postings: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates, as pairs (x, y) that meet often enough in lists of shingles that are not shared, and as groups (c, group) of classes that any meetings in the other lists
+    connect: a pair that can be linked is one of the pairs, or both of its classes are in one group."""
+    met = written(_met(classes, postings, percent, FOREST), "met")
+    found = written(components(met.where("k = 0").select(F.col("x").alias("u"), F.col("y").alias("v"))), "found")
+    groups = found.select(F.col("node").alias("c"), F.col("label").alias("group")).unionAll(found.select(F.col("label").alias("c"), F.col("label").alias("group")).distinct())
+    return _often(met.where("k > 0"), percent), groups
+
+
+def _spanning(percent: int):
+    """Links (u, v) that connect the labels in one cell (c, label, n, short, parity, side, whole) as all of its links do: its lists are looked up and merged, and the pairs that meet
+    often enough are probed, unless links before them connect their labels."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = pa.Table.from_batches(list(batches))
+        c, label, n, side = (cell[k].to_numpy() for k in ("c", "label", "n", "side"))
+        if not len(c) or label.min() == label.max():
+            return
+        short, whole = ([np.frombuffer(v.as_buffer(), np.uint64) for v in cell[k]] for k in ("short", "whole"))
+        parity = cell["parity"].combine_chunks().flatten().to_numpy().reshape(-1, PARITY // 64)
+        many = np.array([len(v) for v in short])
+        of = np.repeat(np.arange(len(c)), many)
+        rows = np.zeros(len(of), HEAVY)
+        rows["h"], rows["c"], rows["label"], rows["n"], rows["side"] = np.concatenate(short), c[of], label[of], n[of], side[of]
+        rows["place"] = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        rows["parity"] = np.ascontiguousarray(parity).view(HEAVY["parity"])[:, 0][of]
+        met = list(_looked_up(rows, percent, ALL))
+        if not met:
+            return
+        x, y, nx, ny, k = (np.concatenate([b.column(i).to_numpy() for b in met]) for i in range(5))
+        order = np.lexsort((y, x))
+        x, y, nx, ny, k = (v[order] for v in (x, y, nx, ny, k))
+        first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        x, y, nx, ny, k = x[first], y[first], nx[first], ny[first], np.add.reduceat(k, first)
+        total = least_overlap(nx, ny, percent)
+        often = np.flatnonzero(k >= np.minimum(np.minimum(extra(nx), extra(ny)), total))
+        at, up = {v: i for i, v in enumerate(c.tolist())}, {v: v for v in label.tolist()}
+
+        def top(v: int) -> int:
+            while up[v] != v:
+                up[v] = v = up[up[v]]
+            return v
+
+        u, v = [], []
+        for i in often[np.argsort(-k[often], kind="stable")].tolist():
+            p, q = at[x[i]], at[y[i]]
+            a, b = top(label[p]), top(label[q])
+            if a != b and overlap(whole[p], whole[q]) >= total[i]:
+                up[max(a, b)] = min(a, b)
+                u.append(x[i]), v.append(y[i])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return work
+
+
+def spanning_links(groups: DataFrame, total: int, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between classes of one group that connect what all of them do. groups: c, n, group; total: the sum of n; classes: c, label, short, parity; sets: c, whole.
+
+    A group has blocks of GROUP_BLOCK shingles on average, and a cell for each block and each two of them; small groups share cells."""
+    cells = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // GROUP_BLOCK)
+    sizes = groups.groupBy("group").agg(F.ceil(F.sum("n") / GROUP_BLOCK).cast("int").alias("blocks"))
+    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(cells))).otherwise(F.col("group"))
+    own = groups.join(sizes, "group").select("c", "n", "blocks", key.alias("key"), F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"))
+    rows = own.join(classes.select("c", "label", "short", "parity"), "c").join(sets, "c").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "c", "label", "n", "short", "parity", side.alias("side"), "whole")
+    span = _spanning(percent)
+
+    def spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from lean(span)(batches)
+
+    return written(rows.groupBy("key", "low", "high").applyInArrow(spanned, "u long, v long"), "links")
+
+
 def needed_meetings(nx: str, ny: str, percent: int) -> Column:
     """In how many lists that are short for both a pair must meet: l, as each has T - l long ones, or T if that is less."""
     total = F.ceil(F.lit(percent) * (F.col(nx) + F.col(ny)) / F.lit(100 + percent))
@@ -460,7 +582,10 @@ def labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 def classified(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
     """Of documents: doc_id, n, c; of classes: c, id (the smallest doc_id) and what sketched() gives; the number of postings."""
-    base = written(sketched(docs, words, percent, shingle_levels(docs, words, slot_bits(docs, MOST_SLOTS))), "sketches")
+    bits, fine = slot_bits(docs, MOST_SLOTS), slot_bits(docs, MOST_SHARED, SHARED_BITS)
+    counts = written(shingle_counts(docs, words, fine), "counts")
+    level = levels_of(counts.withColumn("slot", F.shiftright("slot", fine - bits)), bits)
+    base = written(sketched(docs, words, percent, level, _bits(counts, "slot", fine)), "sketches")
     own = ["n", "bands", "short", "light", "heavy", "parity"]
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", *own)).alias("first")
     classes = base.where("c IS NOT NULL").groupBy("c").agg(first).select("c", F.col("first.doc_id").alias("id"), *[f"first.{c}" for c in own])
@@ -478,7 +603,8 @@ def links(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     docs = _typed(docs)
     _, classes, postings = classified(docs, words, percent)
     candidates = written(sieved(met_pairs(classes.withColumn("label", F.col("c")), int(postings), percent), classes, percent), "pairs")
-    found, of = probed(candidates, docs, words, percent), classes.select("c", "id")
+    sets = written(whole_sets(docs, ends(candidates), words), "sets")
+    found, of = probed(candidates, sets, percent), classes.select("c", "id")
     ids = found.join(of.select(F.col("c").alias("u"), F.col("id").alias("a")), "u").join(of.select(F.col("c").alias("v"), F.col("id").alias("b")), "v")
     return ids.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
 
@@ -497,11 +623,17 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     base, classes, postings = classified(docs, words, percent)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return probed(written(sieved(pairs, classes, percent), "pairs"), docs, words, percent)
+        pairs = written(sieved(pairs, classes, percent), "pairs")
+        return probed(pairs, written(whole_sets(docs, ends(pairs), words), "sets"), percent)
 
     found = confirmed(banded_pairs(classes))
-    found = found.unionAll(confirmed(met_pairs(labelled(classes, found), int(postings), percent, nearest=True)))
-    found = found.unionAll(confirmed(met_pairs(labelled(classes, found), int(postings), percent)))
+    found = found.unionAll(confirmed(nearest_pairs(labelled(classes, found), int(postings), percent)))
+    apart = classes.join(written(labelled(classes.select("c"), found), "labels"), "c")
+    pairs, groups = met_groups(apart, int(postings), percent)
+    pairs = written(sieved(pairs, classes, percent), "pairs")
+    groups, total = counted(groups.join(classes.select("c", "id", "n"), "c"), "groups", F.col("n"))
+    sets = written(whole_sets(docs, ends(pairs).unionAll(groups.select("c", "id")), words), "sets")
+    found = found.unionAll(probed(pairs, sets, percent)).unionAll(spanning_links(groups, int(total), apart, sets, percent))
     groups = written(labelled(classes.select("c", "id"), found), "groups")
     smallest = groups.groupBy("label").agg(F.min("id").alias("component_id"))
     of = groups.join(smallest, "label").select(F.col("c").alias("__c"), "component_id", F.col("id").alias("class_id"))
